@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, mixture, site_lines
+from . import bpe, copies, mixture, mojibake, site_lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "p3_records": lambda s, d: copies.records(table(s, d, "books")),
         "p5_found": lambda s, d: copies.found_survivors(table(s, d, "books")),
         "p5_survivors": lambda s, d: copies.survivors(table(s, d, "books")),
+        "p7_found": lambda s, d: mojibake.found(table(s, d, "books"), table(s, d, "sections")),
+        "p7_repaired": lambda s, d: mojibake.repaired(table(s, d, "books"), table(s, d, "sections")),
         "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents")),
         "p8_round_trip": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "p9_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
