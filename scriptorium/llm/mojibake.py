@@ -328,16 +328,21 @@ def _learned(values: DataFrame, sizes: DataFrame) -> dict[tuple, list[float]]:
     return prior
 
 
-def judged(books: DataFrame, sections: DataFrame) -> DataFrame:
-    """Every affected value: its place, the most probable chain, its posterior and the text read back."""
+def judged(books: DataFrame, sections: DataFrame, lines: bool = True) -> DataFrame:
+    """Every affected value: its place, the most probable chain, its posterior and the text read back.
+
+    lines=False judges the fields of books alone, with the same character frequencies and so with the same result.
+    """
     fields = ("title", "description")
     own_books, own_sections = books.select("book_id", *fields), sections.select("book_id", "section_idx", "site", "lines")
     log_p = frequencies(own_books.select(*fields), own_sections.select("lines"))
-    values = own_sections.mapInArrow(_of_lines(log_p), _OUT).unionByName(own_books.mapInArrow(_of_fields(log_p, fields), _OUT))
+    values = own_books.mapInArrow(_of_fields(log_p, fields), _OUT)
+    if lines:
+        values = values.unionByName(own_sections.mapInArrow(_of_lines(log_p), _OUT))
     values = cut(values)
     sizes = own_sections.groupBy(F.col("site").alias("source")).agg(F.sum(F.greatest(F.size("lines"), F.lit(0))).alias("n")).withColumn("field", F.lit("lines"))
     count = own_books.agg(*[F.count(f).alias(f) for f in fields]).select(F.stack(F.lit(2), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "n")).withColumn("source", F.lit(""))
-    prior = _learned(values, sizes.unionByName(count))
+    prior = _learned(values, count.unionByName(sizes, allowMissingColumns=True) if lines else count)
     p = values.withColumn("p", _posterior(prior)("source", "field", "chains", "gains"))
     # Chain 0 leaves the value as it is; of the others the most probable repairs it.
     best = F.array_max(F.transform(F.slice("p", 2, len(CHAINS)), lambda x, i: F.struct(x.alias("p"), (-i).alias("at"))))

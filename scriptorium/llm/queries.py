@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, mixture, mojibake, site_lines
+from . import bpe, copies, lookalike, mixture, mojibake, site_lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _lookalikes(s: SparkSession, d: str) -> DataFrame:
+    books = table(s, d, "books")
+    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False)
+    return lookalike.found(books, table(s, d, "wishlist"), garbled)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": lambda s, d: site_lines.occurrences(table(s, d, "sections")),
@@ -20,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p3_records": lambda s, d: copies.records(table(s, d, "books")),
         "p5_found": lambda s, d: copies.found_survivors(table(s, d, "books")),
         "p5_survivors": lambda s, d: copies.survivors(table(s, d, "books")),
+        "p6_found": _lookalikes,
+        "p6_consistent": lambda s, d: lookalike.normalized(table(s, d, "books"), table(s, d, "wishlist")),
         "p7_found": lambda s, d: mojibake.found(table(s, d, "books"), table(s, d, "sections")),
         "p7_repaired": lambda s, d: mojibake.repaired(table(s, d, "books"), table(s, d, "sections")),
         "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents")),
