@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, lookalike, mixture, mojibake, site_lines
+from . import bpe, copies, lookalike, mixture, mojibake, pii, site_lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
         "p8_round_trip": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "p9_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p10_found": lambda s, d: pii.found(table(s, d, "documents")),
+        "p10_redacted": lambda s, d: pii.redacted(table(s, d, "documents")),
         "p5_ranked": lambda s, d: copies.ranked(table(s, d, "books")),
     }
 
