@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, lookalike, mixture, mojibake, pii, site_lines
+from . import bpe, copies, lookalike, mixture, mojibake, names, pii, site_lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def _lookalikes(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: names.pairs(table(s, d, "books"), table(s, d, "wishlist")),
+        "p1_entities": lambda s, d: names.entities(table(s, d, "books"), table(s, d, "wishlist")),
         "p2_found": lambda s, d: site_lines.occurrences(table(s, d, "sections")),
         "p2_clean": lambda s, d: site_lines.cleaned(table(s, d, "sections")),
         "p3_found": lambda s, d: copies.pairs(table(s, d, "books")),
@@ -48,6 +50,8 @@ _GROUPS = f"k AS (SELECT book_id, least({_T}, {_A}) x, greatest({_T}, {_A}) y FR
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": lambda s, d: names.pairs(table(s, d, "books"), table(s, d, "wishlist")),
+        "p1_entities": lambda s, d: names.entities(table(s, d, "books"), table(s, d, "wishlist")),
         "p2_found": r"""
 WITH l AS (SELECT book_id, section_idx, site, unnest(lines) line, generate_subscripts(lines, 1) - 1 AS line_no FROM sections),
 k AS (SELECT book_id, section_idx, site, line_no::INTEGER line_no, regexp_replace(lower(upper(line)), '[^\p{L}\p{M}]', '', 'g') AS key FROM l),
