@@ -306,6 +306,17 @@ def _parse(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": [g and g["kind"] for g in got], "core": [g and g["core"] for g in got]}, dtype=object)
 
 
+def form_of(of_char: dict[str, str]):
+    """A function of stored values: the kind and the core, characters of another writing replaced; NULL for no name."""
+
+    @F.pandas_udf(T.StringType())
+    def form(raw: pd.Series) -> pd.Series:
+        got = [parse(v) for v in raw]
+        return pd.Series([g and f"{g['kind']}:" + ("".join(of_char.get(x, x) for x in g["core"]) if g["kind"] == "zh" else g["core"]) for g in got], dtype=object)
+
+    return form
+
+
 @F.pandas_udf(T.StringType())
 def _title_key(raw: pd.Series) -> pd.Series:
     return pd.Series([re.sub(r"[\W_]+", "", normal(v).lower()) if v else "" for v in raw])
@@ -361,17 +372,13 @@ def _learn_sounds(forms: DataFrame, beside: DataFrame) -> dict[str, str]:
     return {r["c"]: r["b"]["y"] for r in pairs.select(both[0].alias("c"), both[1].alias("y"), "k").groupBy("c").agg(F.max(F.struct("k", "y")).alias("b")).collect()}
 
 
-def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: float = -9.0) -> tuple[DataFrame, DataFrame]:
-    """The values (raw, form) and each form's canonical form (form, canonical, posterior)."""
+def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: float = -9.0) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """The values (raw, form), each form's canonical form (form, canonical, posterior), and what characters of another
+    writing stand for."""
     values = cut(values_of(books, wishes))
     forms0 = values.groupBy("kind", "core").agg(F.sum("n").alias("n"))
-    of_char = _learn_characters(forms0)
-
-    @F.pandas_udf(T.StringType())
-    def plain(kind: pd.Series, core: pd.Series) -> pd.Series:
-        return pd.Series([k + ":" + ("".join(of_char.get(x, x) for x in c) if k == "zh" else c) for k, c in zip(kind, core, strict=True)])
-
-    values = cut(values.select("raw", "n", "title_key", "kind", plain("kind", "core").alias("form")))
+    of_char = _learn_characters(forms0.select("kind", "core").unionByName(values.select(F.lit("zh").alias("kind"), F.col("title_key").alias("core")).where(F.length("core") <= 40)).distinct())
+    values = cut(values.select("raw", "n", "title_key", "kind", form_of(of_char)("raw").alias("form")))
     forms = values.groupBy("form").agg(F.sum("n").alias("n"))
     beside = values.where("title_key <> ''").select("kind", F.substring("form", 4, 1 << 20).alias("core"), "title_key", "form").distinct()
     sounds = _learn_sounds(forms, beside)
@@ -438,7 +445,7 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
     # Candidates of one form are often forms of one entity: a tie between them is none, so ties go to the first, below.
     best = best.groupBy("form").agg(F.max(F.struct("score", "n", "name", "ll", F.exp(F.col("score") - F.col("top")).alias("p"), F.col("z"))).alias("b"))
     links = best.select("form", F.col("b.name").alias("canonical"), (F.lit(1.0) / F.col("b.z")).alias("posterior"), F.col("b.ll").alias("ll"))
-    return values, _rooted(forms, links, scored, margin, floor)
+    return values, _rooted(forms, links, scored, margin, floor), of_char
 
 
 def _rooted(forms: DataFrame, links: DataFrame, scored: DataFrame, margin: float, floor: float) -> DataFrame:
@@ -463,7 +470,7 @@ def _rooted(forms: DataFrame, links: DataFrame, scored: DataFrame, margin: float
 
 def entities(books: DataFrame, wishes: DataFrame) -> DataFrame:
     """(name, canonical, posterior): each stored value with its entity's canonical form."""
-    values, links = linked(books, wishes)
+    values, links, _ = linked(books, wishes)
     return values.select("raw", "form").distinct().join(links, "form").select(F.col("raw").alias("name"), "canonical", "posterior")
 
 

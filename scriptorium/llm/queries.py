@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, lookalike, mixture, mojibake, names, pii, site_lines
+from . import bpe, copies, entity, lookalike, mixture, mojibake, names, pii, site_lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    books = table(s, d, "books")
+    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False).where("field = 'title'").select("book_id", "restored").dropDuplicates(["book_id"])
+    return entity.matched(books, table(s, d, "wishlist"), garbled)
+
+
 def _lookalikes(s: SparkSession, d: str) -> DataFrame:
     books = table(s, d, "books")
     garbled = mojibake.judged(books, table(s, d, "sections"), lines=False)
@@ -26,6 +32,8 @@ def queries() -> dict[str, Query]:
         "p2_clean": lambda s, d: site_lines.cleaned(table(s, d, "sections")),
         "p3_found": lambda s, d: copies.pairs(table(s, d, "books")),
         "p3_records": lambda s, d: copies.records(table(s, d, "books")),
+        "p4_found": lambda s, d: _matches(s, d).select("wish_id", "book_id"),
+        "p4_matches": _matches,
         "p5_found": lambda s, d: copies.found_survivors(table(s, d, "books")),
         "p5_survivors": lambda s, d: copies.survivors(table(s, d, "books")),
         "p6_found": _lookalikes,
