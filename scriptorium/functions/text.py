@@ -109,7 +109,7 @@ def tag_text(tags: Column | str) -> Column:
 
 
 def clamp(c: Column | str, lo: int, hi: int) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
+    return F.when(col(c).isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), col(c))))
 
 
 def rating(c: Column | str) -> Column:

@@ -268,4 +268,4 @@ SELECT book_id, section_idx, title, at_::INTEGER AS "offset", CASE WHEN b > 0 TH
 
 
 def _progress(source: str) -> str:
-    return f"SELECT book_id, greatest(-1, least(999999, section)) AS section, greatest(0, least(999999, page)) AS page, greatest(0, least(999999, page_count)) AS page_count, updated_at FROM {source} p QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY updated_at DESC, section DESC NULLS LAST, page DESC NULLS LAST, page_count DESC NULLS LAST) = 1"
+    return f"SELECT book_id, CASE WHEN section IS NOT NULL THEN greatest(-1, least(999999, section)) END AS section, CASE WHEN page IS NOT NULL THEN greatest(0, least(999999, page)) END AS page, CASE WHEN page_count IS NOT NULL THEN greatest(0, least(999999, page_count)) END AS page_count, updated_at FROM {source} p QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY updated_at DESC, section DESC NULLS LAST, page DESC NULLS LAST, page_count DESC NULLS LAST) = 1"
