@@ -183,15 +183,23 @@ def title_suggestions(wishes: DataFrame, title: str, author: str | None = None,
 def duplicate_reasons(incoming: DataFrame, library: DataFrame, k: int = 3) -> DataFrame:
     """For each incoming record its first k duplicates in the library's order, and why: ISBN, title with author, title.
 
-    A union of two equality joins instead of comparing all with all. (id, isbn, title, author) against live books.
+    (id, isbn, title, author) against live books. Equality joins instead of comparing all with all; the library's side
+    keeps k + 1 books a key first (one may be the record itself), which happens before the shuffle, so a key of any
+    size gives each record at most 3 * (k + 1) candidates.
     """
+    from .tables import ranked
+
     a = incoming.select(F.col("id"), X.isbn_key("isbn").alias("isbn_key"), X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"))
-    b = live(library).select("book_id", X.isbn_key("isbn").alias("b_isbn"), X.id_key("title").alias("b_title"), X.id_key("author").alias("b_author"), effective_updated().alias("at"))
-    isbn = a.join(b, (F.col("isbn_key") == F.col("b_isbn")) & (F.col("isbn_key") != "")).select("id", "book_id", "at", F.lit(1).alias("rank"), F.lit("ISBN").alias("reason"))
-    both = (F.col("author_key") != "") & (F.col("b_author") != "")
-    titled = a.join(b, (F.col("title_key") == F.col("b_title")) & (F.col("title_key") != "")).where(~both | (F.col("author_key") == F.col("b_author")))
-    titled = titled.select("id", "book_id", "at", F.when(both, 2).otherwise(3).alias("rank"), F.when(both, "标题+作者").otherwise("标题").alias("reason"))
-    hits = isbn.unionByName(titled).where("id <> book_id")
+    b = live(library).select("book_id", X.isbn_key("isbn").alias("isbn_key"), X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"), effective_updated().alias("at"))
+    first = lambda d, *keys: ranked(d, keys, [F.desc("at"), F.asc("book_id")], k + 1)
+    titled, named = F.col("title_key") != "", F.col("author_key") != ""
+    hit = lambda d, rank, why: d.where("id <> book_id").select("id", "book_id", "at", F.lit(rank).alias("rank"), F.lit(why).alias("reason"))
+    isbn = a.select("id", "isbn_key").where("isbn_key <> ''").join(first(b, "isbn_key").select("isbn_key", "book_id", "at"), "isbn_key")
+    both = a.where(titled & named).join(first(b.where(titled & named), "title_key", "author_key").select("title_key", "author_key", "book_id", "at"), ["title_key", "author_key"])
+    no_author = first(b.where(titled & ~named), "title_key").select("title_key", "book_id", "at")
+    theirs = a.where(titled & named).join(no_author, "title_key")
+    ours = a.where(titled & ~named).join(first(b.where(titled), "title_key").select("title_key", "book_id", "at"), "title_key")
+    hits = hit(isbn, 1, "ISBN").unionByName(hit(both, 2, "标题+作者")).unionByName(hit(theirs, 3, "标题")).unionByName(hit(ours, 3, "标题"))
     one = hits.groupBy("id", "book_id", "at").agg(F.min_by("reason", "rank").alias("reason"))
     w = Window.partitionBy("id").orderBy(F.desc("at"), "book_id")
     return one.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("id", "book_id", "reason", "pos")
