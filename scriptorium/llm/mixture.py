@@ -23,6 +23,8 @@ from .bpe import token_counts
 from .common import cut
 
 SLICES_BITS = 12
+#: Weights this small count as 0: their amounts could not be told from rounding.
+LEAST_WEIGHT = 1e-12
 #: The targets are a table of sources held by the driver: more rows than this are refused.
 MOST_SOURCES = 10_000
 
@@ -30,7 +32,7 @@ MOST_SOURCES = 10_000
 def water_fill(weights: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
     """Amounts that sum to total, or to all caps where total is out of reach; no amount is over its cap."""
     got = dict.fromkeys(weights, 0.0)
-    free = {s for s, w in weights.items() if w > 0 and caps[s] > 0}
+    free = {s for s, w in weights.items() if w > LEAST_WEIGHT and caps[s] > 0}
     left = min(total, sum(caps[s] for s in free))
     while free and left > 0:
         scale = left / sum(weights[s] for s in free)
