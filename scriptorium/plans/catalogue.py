@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import header
 from ..operators import library as L
 from ..operators import lines as N
-from ..operators import lookup, search, tables
+from ..operators import lookup, records, search, tables
 from ..rules import SPECIAL
 from ..schemas import BOOKS, WISHLIST, conform, read_table
 
@@ -85,6 +86,11 @@ def _names(b: DataFrame) -> DataFrame:
     return b.select("book_id", t.alias("title"), a.alias("author"))
 
 
+def _headers(d: DataFrame) -> DataFrame:
+    """Header metadata of the corpus's texts; the name of the source stands for a missing title."""
+    return header.headers(d, "doc_id", "text", "source").drop("skipped")
+
+
 def queries() -> dict[str, Query]:
     bw = _q("books", "wishlist")
     wb = _q("wishlist", "books")
@@ -113,6 +119,13 @@ def queries() -> dict[str, Query]:
         "title_suggestions": _q("wishlist")(lambda w: L.title_suggestions(w, "长夜", limit=30)),
         "duplicate_reasons": _q("books")(lambda b: L.duplicate_reasons(b.withColumnRenamed("book_id", "id"), b)),
         "identity_keys": _q("books")(lambda b: b.select("book_id", X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"), X.isbn_key("isbn").alias("isbn_key"))),
+        "new_wishes": _q("wishlist")(records.new_wishes),
+        "refreshed_keys": _q("wishlist")(records.refreshed_keys),
+        "merged_wishes": _q("wishlist")(lambda w: records.merged_wishes(w).select("id", "title", "updated_at")),
+        "stale_books": _q("books")(lambda b: records.stale(b).select("book_id", "status")),
+        "regenerate_rule": _q("books")(lambda b: records.to_regenerate(b, "rule", "loose").select("book_id")),
+        "regenerate_theme": _q("books")(lambda b: records.to_regenerate(b, "theme", "default").select("book_id")),
+        "book_headers": _q("documents")(_headers),
         "greedy_links": bw(L.greedy_links),
         "jobs_latest": _q("jobs")(lambda j: L.job_rows(j).select("id", "book_id", "status", "updated_at")),
         "jobs_view": _q("jobs", "books")(lambda j, b: L.job_view(L.job_rows(j), b)),
@@ -232,6 +245,12 @@ h AS (SELECT x.book_id AS id, y.book_id, y.at_, 1 AS rank, 'ISBN' AS reason FROM
 o AS (SELECT id, book_id, at_, arg_min(reason, rank) AS reason FROM h GROUP BY ALL)
 SELECT id, book_id, reason, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_ DESC, book_id) AS pos FROM o) WHERE pos <= 3""",
         "identity_keys": f"SELECT b.book_id, {_KEY('b.title')} AS title_key, {_KEY('b.author')} AS author_key, upper(regexp_replace(coalesce(b.isbn, ''), '[^0-9Xx]+', '', 'g')) AS isbn_key FROM books b",
+        "new_wishes": f"WITH w AS (SELECT *, {_READ} AS shown FROM wishlist w) SELECT w.id, coalesce({_STRIP('w.title')}, '') AS title, {_LINK} AS library_book_id, nullif({_STRIP('w.author')}, '') AS author, {_KEY(_STRIP('w.title'))} AS identity_title, {_KEY(_STRIP('w.author'))} AS identity_author, CASE WHEN rating IS NOT NULL THEN greatest(0, least(5, rating)) END AS rating, shown = 'read' AS read, shown AS read_status, CASE WHEN lower({_STRIP('w.book_status')}) IN ('hiatus', 'completed') THEN lower({_STRIP('w.book_status')}) ELSE 'ongoing' END AS book_status, nullif({_STRIP('w.comment')}, '') AS comment FROM w",
+        "refreshed_keys": f"SELECT id, {_KEY('title')} AS identity_title, {_KEY('author')} AS identity_author FROM wishlist WHERE coalesce(identity_title, '') <> {_KEY('title')} OR coalesce(identity_author, '') <> {_KEY('author')}",
+        "merged_wishes": f"WITH w2 AS (SELECT w.*, {_LINK} AS link, {_KEY('w.title')} AS tk, {_KEY('w.author')} AS ak FROM wishlist w) SELECT id, title, updated_at FROM w2 WHERE link IS NOT NULL OR tk = '' UNION ALL SELECT id, title, updated_at FROM (SELECT * FROM w2 WHERE link IS NULL AND tk <> '' QUALIFY row_number() OVER (PARTITION BY tk, ak ORDER BY updated_at DESC, created_at DESC, id DESC) = 1)",
+        "stale_books": "SELECT book_id, status FROM books WHERE status <> 'failed' AND (coalesce(epub_updated_at, '') = '' OR epub_updated_at < updated_at)",
+        "regenerate_rule": "SELECT book_id FROM books WHERE NOT archived AND source_type <> 'epub' AND coalesce(nullif(rule_template, ''), 'default') = 'loose'",
+        "regenerate_theme": f"SELECT b.book_id FROM books b WHERE NOT b.archived AND {_THEME} IS NOT DISTINCT FROM 'default'",
         "jobs_latest": f"WITH {_JOBS} SELECT id, book_id, status, updated_at FROM j",
         "jobs_view": f"WITH {_JOBS} SELECT j.id, j.book_id, coalesce(nullif(b.title, ''), '未关联书籍') AS book_title, coalesce(nullif(b.author, ''), '未知') AS book_author, b.book_id IS NOT NULL AND NOT coalesce(b.archived, false) AS can_open, CASE {_STRIP('j.action')} WHEN 'upload' THEN '上传并转换' WHEN 'upload-epub' THEN 'EPUB 入库' WHEN 'edit-writeback' THEN '编辑并写回' WHEN 'regenerate' THEN '重新生成' WHEN 'retry' THEN '重试生成' WHEN 'ingest' THEN '入库检查' ELSE coalesce(nullif(j.action, ''), '任务') END AS action_label, j.status, j.stage, j.created_at, j.updated_at FROM j LEFT JOIN books b ON b.book_id = j.book_id",
         "jobs_page": f"WITH {_JOBS} SELECT j.id, j.book_id, coalesce(nullif(b.title, ''), '未关联书籍') AS book_title, coalesce(nullif(b.author, ''), '未知') AS book_author, b.book_id IS NOT NULL AND NOT coalesce(b.archived, false) AS can_open, CASE {_STRIP('j.action')} WHEN 'upload' THEN '上传并转换' WHEN 'upload-epub' THEN 'EPUB 入库' WHEN 'edit-writeback' THEN '编辑并写回' WHEN 'regenerate' THEN '重新生成' WHEN 'retry' THEN '重试生成' WHEN 'ingest' THEN '入库检查' ELSE coalesce(nullif(j.action, ''), '任务') END AS action_label, j.status, j.stage, j.created_at, j.updated_at FROM j LEFT JOIN books b ON b.book_id = j.book_id WHERE j.status = 'failed' ORDER BY j.created_at DESC NULLS LAST, j.id LIMIT 12 OFFSET 12",

@@ -425,3 +425,68 @@ def for_reader(text: str, base: str) -> str:
     tag = f"<base href={quoteattr(base)}/>"
     new, n = re.subn(r"(?i)<head\b[^>/]*>", lambda m: m.group() + tag, text, count=1)
     return new if n else tag + text
+
+
+def with_cover_and_style(data: bytes, cover: tuple[str, bytes] | None = None, css: str | None = None, plain: bool = False) -> bytes:
+    """A new cover and one overlay style sheet, other documents kept; plain=True drops the package's own styles.
+
+    css='' takes an earlier overlay away.
+    """
+    p = Package(data)
+    folder = posixpath.dirname(p.opf)
+    overlay = posixpath.join(folder, "Styles/overlay.css")
+    own_styles = {i.path for i in p.items if i.media == MEDIA_TYPES["css"] and i.path != overlay} if plain else set()
+    image = posixpath.join(folder, "Images", cover[0]) if cover else ""
+    old_cover = p.cover()[0] if cover and p.cover() else ""
+
+    def change(path: str, raw: bytes) -> bytes | None:
+        if path in own_styles or (css is not None and path == overlay) or (cover and path in (image, old_cover)):
+            return None
+        if path == p.opf:
+            text = raw.decode("utf-8", "replace")
+            dropped = {i.id for i in p.items if i.path in own_styles or (css is not None and i.path == overlay) or (cover and (i.path in (image, old_cover) or "cover-image" in i.properties))}
+            for d in dropped:
+                text = re.sub(rf'(?s)<(?:\w+:)?item\b[^>]*\bid=["\']{re.escape(d)}["\'][^>]*?/?>', "", text)
+            new = '<item id="overlay-css" href="Styles/overlay.css" media-type="text/css"/>' if css else ""
+            if cover:
+                text = re.sub(r'(?s)<(?:\w+:)?meta\b[^>]*\bname=["\']cover["\'][^>]*?/?>', "", text)
+                text = re.sub(r"</((?:\w+:)?metadata)>", lambda m: '<meta name="cover" content="cover-image"/>' + m.group(), text, count=1)
+                new += f'<item id="cover-image" href="Images/{escape(cover[0])}" media-type="{kind_of(cover[0])}" properties="cover-image"/>'
+            return re.sub(r"</((?:\w+:)?manifest)>", lambda m: new + m.group(), text, count=1).encode()
+        if kind_of(path) == MEDIA_TYPES["xhtml"]:
+            text = raw.decode("utf-8", "replace")
+            text = without_styles(text) if plain else text
+            if css is not None:
+                text = re.sub(r'(?i)<link\b[^>]*overlay\.css[^>]*/?>', "", text)
+            return (with_style(text, posixpath.relpath(overlay, posixpath.dirname(path) or ".")) if css else text).encode()
+        return raw
+
+    out = io.BytesIO(rewrite(data, change))
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
+        if css:
+            z.writestr(zipfile.ZipInfo(overlay, (2000, 1, 1, 0, 0, 0)), css)
+        if cover:
+            z.writestr(zipfile.ZipInfo(image, (2000, 1, 1, 0, 0, 0)), cover[1])
+    return out.getvalue()
+
+
+#: First bytes of image files and their endings.
+_MAGIC = ((b"\xff\xd8", ".jpg"), (b"\x89PNG", ".png"), (b"GIF8", ".gif"), (b"RIFF", ".webp"))
+
+
+def cover_ending(name: str | None, data: bytes) -> str:
+    """The ending of a cover's file: its name's, else by its first bytes, else '.jpg'."""
+    end = posixpath.splitext(name or "")[1].lower()
+    if end in (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg"):
+        return end
+    return next((e for m, e in _MAGIC if data.startswith(m)), ".jpg")
+
+
+def bundle(rows: DataFrame, path: str) -> int:
+    """One archive of the packages (file_name, epub), fetched one partition after another. Returns how many."""
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for r in rows.select("file_name", "epub").toLocalIterator():
+            z.writestr(zipfile.ZipInfo(r["file_name"], (2000, 1, 1, 0, 0, 0)), bytes(r["epub"]))
+            n += 1
+    return n

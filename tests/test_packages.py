@@ -101,3 +101,19 @@ def test_suggestions(spark):
     q = spark.createDataFrame([("1", "灯塔", "某人"), ("2", "灯塔", "别人")], "id string, query string, expected string")
     s = spark.createDataFrame([("1", 0, "灯塔", "旁人"), ("1", 1, "灯塔记", "某人"), ("2", 0, "灯塔", "旁人")], "id string, pos int, title string, author string")
     assert [(r.id, r.pos) for r in lookup.best_suggestion(q, s).collect()] == [("1", 1)]
+
+
+def test_cover_and_style():
+    data = epub.with_cover_and_style(made(), ("new.png", b"\x89PNG1"), "h2{}")
+    p = epub.Package(data)
+    assert p.cover() == ("EPUB/Images/new.png", b"\x89PNG1") and p.read("EPUB/Styles/overlay.css") == b"h2{}"
+    assert b'href="../Styles/overlay.css"' in next(p.sections())[3] and b"Styles/style.css" in next(p.sections())[3]
+    again = epub.Package(epub.with_cover_and_style(data, css="", plain=True))
+    assert not any(m.endswith(".css") for m in again.members) and b"stylesheet" not in next(again.sections())[3]
+    assert epub.cover_ending("x", b"GIF89") == ".gif" and epub.cover_ending("x.PNG", b"") == ".png"
+
+
+def test_bundle(spark, tmp_path):
+    df = spark.createDataFrame([("a.epub", bytearray(b"1")), ("b.epub", bytearray(b"2"))], "file_name string, epub binary")
+    assert epub.bundle(df, str(tmp_path / "x.zip")) == 2
+    assert sorted(zipfile.ZipFile(tmp_path / "x.zip").namelist()) == ["a.epub", "b.epub"]
