@@ -335,21 +335,33 @@ def values_of(books: DataFrame, wishes: DataFrame) -> DataFrame:
     return parsed.join(titles, "own_key", "left_anti").select("raw", "kind", "core", "title_key", "n")
 
 
-def _learn_characters(forms: DataFrame) -> dict[str, str]:
-    """Characters outside the simplified set and what they stand for: the set bounds the table."""
+@F.pandas_udf(T.BooleanType())
+def _is_simple(c: pd.Series) -> pd.Series:
+    return c.map(simplified)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def holes(core: pd.Series) -> pd.Series:
-        return pd.Series([[f"{rotation(c[:i] + '*' + c[i + 1 :])}\t{c[i]}" for i in range(len(c))] if len(c) >= 4 else [] for c in core])
 
-    cut_at = forms.where("kind = 'zh'").select(F.explode(holes("core")).alias("x")).select(F.split("x", "\t")[0].alias("hole"), F.split("x", "\t")[1].alias("c"))
-    is_simple = F.udf(simplified, T.BooleanType())
-    odd = cut_at.where(~is_simple("c")).select("hole", F.col("c").alias("odd"))
-    plain = cut_at.where(is_simple("c"))
+def _learn_characters(forms: DataFrame) -> dict[str, str]:
+    """Characters outside the simplified set and what they stand for: the set bounds the table.
+
+    Names and titles that differ in one character share what is left without it. Holes are only cut where an odd
+    character stands and into texts that could fill them: texts without odd ones.
+    """
+    rows = forms.where(F.length("core").between(4, 12)).where(F.col("core").rlike(r"^[\x{3400}-\x{9fff}]+$")).select("core").distinct()
+    odd_at = rows.withColumn("simple", _all_simple("core"))
+    hole = lambda i: F.struct(F.concat(F.expr("substring(core, 1, i - 1)"), F.lit("*"), F.expr("substring(core, i + 1)")).alias("hole"), F.expr("substring(core, i, 1)").alias("c"))  # noqa: E731, ARG005
+    cut_at = odd_at.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("core")))).select("simple", hole("i").alias("h")).select("simple", "h.*")
+    odd = cut_at.where("not simple").where(~_is_simple("c")).select("hole", F.col("c").alias("odd"))
+    plain = cut_at.where("simple").select("hole", "c")
+    # An odd text with several odd characters keeps the others in its hole, so only what was learned from one counts.
     pairs = odd.join(plain, "hole").groupBy("odd", "c").agg(F.count(F.lit(1)).alias("k"))
     return {r["odd"]: r["b"]["c"] for r in pairs.groupBy("odd").agg(F.max(F.struct("k", "c")).alias("b")).collect()}
 
 
+@F.pandas_udf(T.BooleanType())
+def _all_simple(core: pd.Series) -> pd.Series:
+    return core.map(lambda c: all(map(simplified, c)))
+
+
 def _learn_sounds(forms: DataFrame, beside: DataFrame) -> dict[str, str]:
     """Each character's syllable, from transcribed forms and forms in characters beside the same title."""
     roman = beside.where("kind = 'la'").select("title_key", F.regexp_replace("core", " ", "").alias("roman")).where(F.length("roman").between(6, 40)).distinct()
@@ -377,7 +389,7 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
     writing stand for."""
     values = cut(values_of(books, wishes))
     forms0 = values.groupBy("kind", "core").agg(F.sum("n").alias("n"))
-    of_char = _learn_characters(forms0.select("kind", "core").unionByName(values.select(F.lit("zh").alias("kind"), F.col("title_key").alias("core")).where(F.length("core") <= 40)).distinct())
+    of_char = _learn_characters(forms0.select("kind", "core").unionByName(values.select(F.lit("zh").alias("kind"), F.col("title_key").alias("core"))))
     values = cut(values.select("raw", "n", "title_key", "kind", form_of(of_char)("raw").alias("form")))
     forms = values.groupBy("form").agg(F.sum("n").alias("n"))
     beside = values.where("title_key <> ''").select("kind", F.substring("form", 4, 1 << 20).alias("core"), "title_key", "form").distinct()
@@ -400,7 +412,7 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
                 joined = core.replace(" ", "")
                 if 8 <= len(joined) <= 36:
                     k += sorted({"i:" + "".join(y[0] for y in s) for n in (4, 5, 6) for s in syllables(joined, n)})
-            out.append(k)
+            out.append(sorted(set(k)))
         return pd.Series(out)
 
     def transcribed(han: str, roman: str) -> float:
@@ -430,12 +442,14 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
     def full(form: pd.Series) -> pd.Series:
         return pd.Series([len(f) - 3 >= 4 if f[:2] == "zh" else sum(len(t) > 2 for t in f[3:].split()) >= 2 or " " not in f[3:] for f in form])
 
-    keyed = cut(forms.select("form", "n", F.explode(keys("form")).alias("key")).distinct())
+    keyed = forms.select("form", "n", F.explode(keys("form")).alias("key"))
     # A pair is met under any of its keys; of a pair, the full form before a short one and then the more frequent one is
     # the candidate. Keys of two characters of another writing join only those to plain ones.
-    keyed = keyed.withColumns({"full": full("form"), "wild": F.col("key").startswith("wo:"), "key": F.regexp_replace("key", "^w[op]:", "w:")})
-    rank = lambda p: F.struct(F.col(f"{p}.full"), F.col(f"{p}.n"), F.length(f"{p}.form"), F.col(f"{p}.form"))
-    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (rank("a") < rank("b")) & (~F.col("a.key").startswith("w:") | F.col("a.wild") | F.col("b.wild"))).select(F.col("a.form").alias("form"), F.col("b.form").alias("name"), F.col("b.n").alias("n")).distinct()
+    # Keys travel as 64 bits: a chance meeting is refused by its likelihood.
+    keyed = keyed.withColumns({"wild": F.when(F.col("key").startswith("wo:"), 2).when(F.col("key").startswith("wp:"), 1).otherwise(0), "key": F.xxhash64(F.regexp_replace("key", "^w[op]:", "w:"))})
+    keyed = cut(keyed.select("key", "wild", F.struct(full("form").alias("full"), "n", F.length("form").alias("size"), "form").alias("x")))
+    either = (F.col("a.wild") == 0) | (F.col("a.wild") + F.col("b.wild") > 2)
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.x") < F.col("b.x")) & either).select(F.col("a.x.form").alias("form"), F.col("b.x.form").alias("name"), F.col("b.x.n").alias("n")).distinct()
     scored = cut(met.withColumn("ll", likelihood("form", "name")).where(F.col("ll") > _NEVER))
     t = beside.select("form", "title_key").distinct()
     shared = scored.select("form", "name").join(t, "form").join(t.select(F.col("form").alias("name"), "title_key"), ["name", "title_key"]).groupBy("form", "name").agg(F.count(F.lit(1)).alias("titles"))
