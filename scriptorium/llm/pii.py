@@ -30,9 +30,13 @@ ROUNDS = 6
 #: Full-width digits, letters and signs read as the ordinary ones; one character for one, so places stay.
 _FULL = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F) if chr(i - 0xFEE0).isalnum() or chr(i - 0xFEE0) in "@+-().#"}
 
-_AT = r"(?: ?[@] ?| ?(?:\[at\]|\(at\)|\{at\}) ?| at )"
-_DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot )"
-EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_])?{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
+_AT = r"(?: ?[@] ?| ?(?:\[at\]|\(at\)|\{at\}) ?)"
+_DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}) ?)"
+_LOCAL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_])?"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+EMAIL = re.compile(rf"{_LOCAL}{_AT}(?:{_LABEL}{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
+#: Spelt out: 'name at site dot org'.
+EMAIL_WORDS = re.compile(rf"{_LOCAL} at (?:{_LABEL} dot )+[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
 _EXT = r"(?:(?: ?转 ?| ?(?:[,，] ?)?(?:ext|extension|poste|x)\.? ?#?)\d{1,6}|-\d{1,4}(?![\d-]))?"
 PHONE = re.compile(
     r"(?<![\d.\-A-Za-z+(/=])(?:"
@@ -76,7 +80,7 @@ ZH_CUES = [
     (r"(?:录入|整理|扫描)，", r"(?=核对|校对|录入)"),
     (r"(?:写的是|署名是|署名为|收件人是)", r"(?=[，,。]|$)"),
     (r"(?:签约人|联系人|编辑|作者|收件人)[（(]", r"(?=[）)])"),
-    (r"(?:^|(?<=\n)|(?<=[。！？\s　]))(?:——|—— )", r"(?=\s*(?:\n|$|\r))"),
+    (r"(?:——|—— )", r"(?=\s*(?:\n|$|\r))"),
 ]
 _ZH_CUES = [re.compile(f"(?:{a})(?P<n>{_ZH_NAME}){b}", re.M) for a, b in ZH_CUES]
 _TITLED = re.compile(rf"(?<![一-龥])(?P<n>{_ZH_NAME})(?:先生|女士|小姐|老师|同学|编辑|同志)(?![一-龥]{{0,2}}(?:想起|吹|在|把|却|这))")
@@ -85,14 +89,14 @@ _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Monsieur|Madame)\.? )?"
 _LATIN = rf"{_TITLE}(?P<n>{_CAP}(?:,? ?{_CAP}){{1,3}})"
 EN_CUES = [
     (r"[Mm]y name is ", r""), (r"[Tt]hanks (?:go )?to ", r"(?= for| from|[.,!]|$)"), (r"[Tt]yped in by ", r"(?= and)"), (r"[Cc]hecked by ", r"(?=[.,]|\s|$)"), (r"[Pp]lease credit ", r"(?= for)"),
-    (r"[Ss]igned for by ", r""), (r"Contact ?: ", r""), (r"(?:Yours|Sincerely|Regards|Best|Cheers)(?: truly| sincerely)?,\s", r"(?=\s|$|\.)"), (r"(?:^|(?<=\n)|(?<=[.!?\s　]))— ?", r"(?=\s*(?:\n|\r|$))"),
+    (r"[Ss]igned for by ", r""), (r"Contact ?: ", r""), (r"(?:Yours|Sincerely|Regards|Best|Cheers)(?: truly| sincerely)?,\s", r"(?=\s|$|\.)"), (r"— ?", r"(?=\s*(?:\n|\r|$))"),
     (r"(?:[Ee]dited|[Ss]canned|[Pp]roofread|[Uu]ploaded|[Tt]ranscribed|[Ss]igned) by ", r""), (r"(?:Editor|Proofreader|Attn|Name|Dear) ?[:.]? ", r""),
     (r"[Jj]e m[’']appelle ", r""), (r"(?:[Rr]elu|[Cc]orrigé|[Nn]umérisé|[Ss]aisi) par ", r""), (r"[Mm]erci à ", r"(?= pour|[.,!]|$)"), (r"Contact : ", r""),
 ]
 _EN_CUES = [re.compile(f"(?:{a}){_LATIN}(?![A-Za-zÀ-ÿ]){b}", re.M) for a, b in EN_CUES]
 _REPLIED = re.compile(rf"{_LATIN} (?:from the desk|replied|from the office)")
 _NOT_PHONE = re.compile(r"(?:订单号?|流水号|单号|编号|批号|书号|ISBN|Order(?: no)?|Commande|order|invoice|No|no|版本|校验值|checksum|scan_v|QQ群?|tracking|Ref|运单号?)[.:：#]? ?$")
-_ID_CUE = re.compile(r"(?:身份证|证件|证号|SSN|Passport|passport|护照|ID no|[Ii]dentity|ID number|pièce|sécurité|NIR|National|ID)[^\n。]{0,14}$")
+_ID_CUE = re.compile(r"(?:身份证|证件|证号|SSN|Passport|passport|护照|ID no|[Ii]dentity|ID number|pièce|sécurité|NIR|National|ID)[^\n。]{0,22}$")
 _ID_AFTER = re.compile(r"^\s?(?:这串)?身份证|^\s?已核验")
 _PHONE_CUE = re.compile(r"(?:电话|手机|联系方式|热线|致电|拨打|微信|Phone|phone|Call|call|number is|Tel|tel|left|Appelez|Téléphone|Mobile|fax|Fax|传真)[^\n。]{0,12}$")
 #: Words that begin with a capital letter and are no part of a person's name.
@@ -141,9 +145,11 @@ def candidates(text: str) -> list[Node]:
     t = text.translate(_FULL)
     nodes: list[Node] = []
     if "@" in t or "at" in t:
-        nodes += [Node(*m.span(), "email", 5.0 if "@" in m.group() or "[" in m.group() or "(" in m.group() or "{" in m.group() else 1.0, m.group().lower()) for m in EMAIL.finditer(t) if m.group().count(" at ") == 0 or "dot" in m.group()]
+        nodes += [Node(*m.span(), "email", 5.0, m.group().lower()) for m in EMAIL.finditer(t)]
+    if " dot " in t:
+        nodes += [Node(*m.span(), "email", 4.0, m.group().lower()) for m in EMAIL_WORDS.finditer(t)]
     for m in ID_NUMBER.finditer(t):
-        before, odds = t[max(0, m.start() - 24) : m.start()], -1.5
+        before, odds = t[max(0, m.start() - 40) : m.start()], -1.5
         shape = re.sub(r"\d", "9", m.group())
         if _ID_CUE.search(before) or _ID_AFTER.search(t[m.end() : m.end() + 8]):
             odds = 5.0
