@@ -207,6 +207,10 @@ def zh_likelihood(form: str, name: str) -> float:
         return -2.5 if n >= 4 and name.startswith(form) and len(form) >= 2 else _NEVER
     if n < 4:
         return _NEVER
+    # One typing error leaves all but one character in common, in whatever rotation.
+    shared = sum(min(form.count(c), name.count(c)) for c in set(form))
+    if max(n, len(form)) - shared > 1 and all(map(simplified, form)) and all(map(simplified, name)):
+        return _NEVER
     best = _NEVER
     for i in range(len(name)):
         spun = name[i:] + name[:i]
