@@ -56,6 +56,19 @@ _A = r"regexp_replace(lower(upper(coalesce(author, ''))), '[^\p{L}\p{Nd}]', '',
 _GROUPS = f"k AS (SELECT book_id, least({_T}, {_A}) x, greatest({_T}, {_A}) y FROM books)"
 
 
+#: The same words and forms as copies.STAND_INS, usable_text, usable_cover and usable_isbn.
+_BARE = lambda c: rf"regexp_replace(lower(coalesce({c}, '')), '[\s\x{{a0}}\x{{3000}}\p{{Cf}}]+', '', 'g')"
+_WORDS = ", ".join(f"'{w}'" for w in copies.STAND_INS)
+_TEXT = lambda c: f"({_BARE(c)} NOT IN ({_WORDS}) AND regexp_matches({_BARE(c)}, '[\\p{{L}}\\p{{N}}]'))"
+_STEM = r"regexp_replace(" + _BARE("cover_file") + r", '\.(jpe?g|png|gif|webp|bmp|svg)$', '')"
+_COVER = f"({_TEXT('cover_file')} AND {_STEM} NOT IN ({_WORDS}) AND NOT regexp_matches({_BARE('cover_file')}, 'placeholder|default|no[-_ ]?cover|no[-_ ]?image|missing|blank|dummy|unknown'))"
+_DIGITS = r"regexp_replace(upper(coalesce(isbn, '')), '^\s*ISBN(-1[03])?[:：]?|[\s\x{a0}\x{3000}\-‐‑–—]+', '', 'g')"
+_NTH = f"CASE WHEN substr({_DIGITS}, i, 1) = 'X' THEN 10 ELSE try_cast(substr({_DIGITS}, i, 1) AS INT) END"
+_ISBN = f"""(CASE WHEN length(replace({_DIGITS}, left({_DIGITS}, 1), '')) = 0 THEN false
+ WHEN regexp_full_match({_DIGITS}, '[0-9]{{9}}[0-9X]') THEN list_sum(list_transform(range(1, 11), lambda i: (11 - i) * ({_NTH}))) % 11 = 0
+ WHEN regexp_full_match({_DIGITS}, '[0-9]{{13}}') THEN list_sum(list_transform(range(1, 14), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END * ({_NTH}))) % 10 = 0 ELSE false END)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": lambda s, d: names.pairs(table(s, d, "books"), table(s, d, "wishlist")),
@@ -68,5 +81,13 @@ r AS (SELECT k.site, key FROM k JOIN n ON k.site IS NOT DISTINCT FROM n.site WHE
       HAVING count(DISTINCT (book_id, section_idx)) >= greatest(5, 0.05 * site_rows) AND count(DISTINCT book_id) >= 3)
 SELECT DISTINCT book_id, section_idx, line_no FROM k JOIN r ON k.site IS NOT DISTINCT FROM r.site AND k.key = r.key""",
         "p3_found": f"WITH {_GROUPS} SELECT a.book_id AS book_a, b.book_id AS book_b FROM k a JOIN k b ON a.x = b.x AND a.y = b.y AND a.book_id < b.book_id",
+        "p5_found": f"""
+WITH {_GROUPS}, g AS (SELECT x, y, min(book_id) AS group_book_id FROM k GROUP BY x, y HAVING count(*) > 1),
+m AS (SELECT g.group_book_id, b.* FROM g JOIN k USING (x, y) JOIN books b USING (book_id)),
+f AS (SELECT group_book_id, 'isbn' AS field, book_id, updated_at, {_ISBN} AS ok, {_ISBN}::INT + {_TEXT('publisher')}::INT + {_COVER}::INT AS used FROM m
+      UNION ALL SELECT group_book_id, 'publisher', book_id, updated_at, {_TEXT('publisher')}, {_ISBN}::INT + {_TEXT('publisher')}::INT + {_COVER}::INT FROM m
+      UNION ALL SELECT group_book_id, 'cover_file', book_id, updated_at, {_COVER}, {_ISBN}::INT + {_TEXT('publisher')}::INT + {_COVER}::INT FROM m)
+SELECT group_book_id, field, book_id FROM f WHERE ok
+QUALIFY row_number() OVER (PARTITION BY group_book_id, field ORDER BY try_cast(nullif(updated_at, '') AS TIMESTAMPTZ) DESC NULLS LAST, used DESC, book_id) = 1""",
         "p3_records": f"WITH {_GROUPS}, g AS (SELECT min(book_id) AS book_id, count(*) AS copies FROM k GROUP BY x, y) SELECT g.book_id, b.title, b.author, g.copies FROM g JOIN books b USING (book_id)",
     }
