@@ -37,6 +37,8 @@ CHAINS = ["", *SINGLE, "utf-8>cp1252>cp1252", *DOUBLE, *BY_GBK, "gb18030>big5",
 #: Sources kept on the driver while the chains' shares are learned: more are refused.
 MOST_SOURCES = 100_000
 ROUNDS = 4
+#: Log-probability under which a character is rare, and what a chain must gain to be considered.
+_RARE, _GAIN = -11.5, 6.5
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 #: Two characters or more, or one of the commonest marks: general punctuation, CJK punctuation, full-width forms.
@@ -46,6 +48,8 @@ _IDEOGRAPH = re.compile("[一-龥]")
 _PAIRS = re.compile(rb"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe])+")
 _ODD = re.compile("[\x80-\xb6\xb8-ſƒˆ˜Ѐ-ӿ‚√‰─-■-�｡-ﾟ]")
 _WIDE = re.compile("[^\x00-\x7f]+")
+#: Latin letters, marks, symbols, ideographs and full-width forms.
+_USUAL = re.compile("[\xa0-ɏ\u2000-⟿\u3000-〿一-龥\uff00-｠]|[㐀-䶿]|.[̀-ͯ]")
 _KANA = re.compile("[｡-ﾟ]")
 
 
@@ -84,7 +88,10 @@ def _by_single(v: str, encoding: str) -> str:
     out, last = [], 0
     for i, j, data in _segments(v, encoding):
         for m in _UTF8.finditer(data):
-            out += [v[last : i + m.start()], m.group().decode("utf-8", "replace")]
+            text = m.group().decode("utf-8", "replace")
+            if len(text) < 3 and not _USUAL.search(text):
+                continue  # two letters of a foreign word can look like one character's bytes
+            out += [v[last : i + m.start()], text]
             last = i + m.end()
     return "".join(out) + v[last:] if out else v
 
@@ -140,13 +147,33 @@ def _by_double(v: str, encoding: str, log_p: np.ndarray) -> str:
     return "".join(out) + v[last:] if out else v
 
 
-def _by_big5(v: str) -> str:
+@lru_cache(maxsize=1 << 16)
+def _big5_as_gbk(c: str) -> str | None:
     try:
-        v.replace("�", "").encode("big5")
-    except UnicodeEncodeError:
+        x = c.encode("big5").decode("gb18030")
+    except UnicodeError:
+        return None
+    return x if len(x) == 1 else None
+
+
+def _by_big5(v: str, log_p: np.ndarray) -> str:
+    """GBK bytes read as Big5: character by character, in the stretch where that makes the text likelier by most."""
+    codes = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = log_p[codes]
+    if (own[codes > 127] < _RARE).sum() < 2:
         return v
-    text = "".join(p if p.isascii() else b"".join(x.encode("big5") if x != "�" else b"\xff" for x in p).decode("gb18030", "replace") for p in re.split("([^\x00-\x7f]+)", v))
-    return text if _IDEOGRAPH.search(text) else v
+    read = [c if c.isascii() else _big5_as_gbk(c) for c in v]
+    best = total = 0.0
+    begin = lo = hi = 0
+    for i, x in enumerate(read):
+        total += float(log_p[ord(x)] - own[i]) if x else -6.0
+        if total <= 0:
+            total, begin = 0.0, i + 1
+        elif total > best:
+            best, lo, hi = total, begin, i + 1
+    text = "".join(x or v[lo + k] for k, x in enumerate(read[lo:hi]))
+    wide = [x for x in read[lo:hi] if x and not x.isascii()]
+    return v[:lo] + text + v[hi:] if best > 10 and len(wide) >= 3 and _IDEOGRAPH.search(text) else v
 
 
 def readings(v: str, log_p: np.ndarray) -> list[tuple[int, str]]:
@@ -169,7 +196,7 @@ def readings(v: str, log_p: np.ndarray) -> list[tuple[int, str]]:
             x = _by_double(v, encoding, log_p)
             if x != v:
                 out.append((CHAINS.index(name), x))
-    x = _by_big5(v)
+    x = _by_big5(v, log_p)
     if x != v:
         out.append((CHAINS.index("gb18030>big5"), x))
     if _lost(v):
@@ -240,7 +267,7 @@ def weighed(v: str, log_p: np.ndarray) -> list[tuple[int, float, str]]:
             continue
         a, b = _trimmed(v, x)
         gain = _ll(log_p, b) - _ll(log_p, a)
-        if gain > -5:
+        if gain > _GAIN:
             out.append((chain, gain + (20.0 if _lost(v) else 0.0), x))
     return out
 
