@@ -96,7 +96,7 @@ class Encoder:
         self.db.register("given", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int64()), "id": pa.array(ids, pa.int32())}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
         self.db.unregister("given")
-        got = self.db.execute(_STEP).to_arrow_table()
+        got = self.db.sql(_STEP).to_arrow_table()
         for i, own in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             self.known[words[i]] = own
 
@@ -174,7 +174,7 @@ def decoded(tokens: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS, fi
         for b in batches:
             db.register("given", pa.table({"row": pa.array(range(b.num_rows), pa.int32()), "ids": b.column("ids")}))
             text = [""] * b.num_rows
-            got = db.execute(_DECODE).to_arrow_table()
+            got = db.sql(_DECODE).to_arrow_table()
             for row, parts in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
                 text[row] = b"".join(parts).decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(text, pa.string())], ["key", "text"])

@@ -71,8 +71,6 @@ _ISBN = f"""(CASE WHEN length(replace({_DIGITS}, left({_DIGITS}, 1), '')) = 0 TH
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": lambda s, d: names.pairs(table(s, d, "books"), table(s, d, "wishlist")),
-        "p1_entities": lambda s, d: names.entities(table(s, d, "books"), table(s, d, "wishlist")),
         "p2_found": r"""
 WITH l AS (SELECT book_id, section_idx, site, unnest(lines) line, generate_subscripts(lines, 1) - 1 AS line_no FROM sections),
 k AS (SELECT book_id, section_idx, site, line_no::INTEGER line_no, regexp_replace(lower(upper(line)), '[^\p{L}\p{M}]', '', 'g') AS key FROM l),
