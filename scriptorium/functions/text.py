@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; the same class works in Java's and in RE2's regular expressions.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one, for trimming without a regular expression.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 IDENTITY_DROPS = r"[^0-9a-zA-Z\x{4e00}-\x{9fff}]+"
 
 
@@ -15,7 +17,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def present(c: Column | str) -> Column:
@@ -52,7 +54,8 @@ def unescape(c: Column | str) -> Column:
 
 
 def one_space(c: Column | str) -> Column:
-    return strip(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    plain = F.translate(col(c), SPACES[1:], " " * (len(SPACES) - 1))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def clean_text(c: Column | str) -> Column:

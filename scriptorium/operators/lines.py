@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +35,16 @@ def has_content(text: Column | str) -> Column:
 
 
 def with_context(lines: DataFrame, key: str) -> DataFrame:
-    """Each line with the one before and the one behind."""
+    """Each line with the one before and the one behind; `bare` is the line stripped, once for all that asks for it."""
     w = Window.partitionBy(key).orderBy("line_no")
-    return lines.withColumns({"prev": F.lag("line").over(w), "next": F.lead("line").over(w)})
-
-
-def _blank(c: Column) -> Column:
-    return c.isNull() | (X.strip(c) == "")
+    return lines.withColumn("bare", X.strip("line")).withColumns({"prev": F.lag("bare").over(w), "next": F.lead("bare").over(w)})
 
 
 def likely_heading(rules: Rules) -> Column:
     """Beside a blank line anything may be a heading; else it must be short, have few commas and end no sentence."""
-    s = X.strip("line")
-    alone = _blank(F.col("prev")) | _blank(F.col("next"))
-    commas = F.length(s) - F.length(F.regexp_replace(s, "[，,]", ""))
+    s = F.col("bare")
+    alone = (F.coalesce("prev", F.lit("")) == "") | (F.coalesce("next", F.lit("")) == "")
+    commas = F.length(s) - F.length(F.translate(s, "，,", ""))
     fits = ~s.rlike("[。！？]$") & (F.length(s) <= rules.longest) & (commas <= rules.commas)
     return (s != "") & (alone | fits)
 
@@ -58,13 +56,11 @@ def _java(pattern: str) -> str:
 
 def heading_kind(rules: Rules) -> Column:
     """'chapter', 'volume' or NULL: the first rule that matches decides, also where the line then is no heading."""
-    s = X.strip("line")
-    any_of = lambda ps: F.lit(False) if not ps else s.rlike("|".join(_java(p) for p in ps))
-    special = F.lit(False)
-    for w in rules.special:
-        special = special | (s == w) | s.startswith(f"{w} ") | s.startswith(f"{w}：") | s.startswith(f"{w}:")
-    kind = F.when(any_of(rules.chapters) | special, "chapter").when(any_of(rules.volumes), "volume")
-    return F.when((s != "") & likely_heading(rules), kind)
+    s = F.col("bare")
+    any_of = lambda ps: F.lit(False) if not ps else s.rlike("|".join(ps))
+    words = [rf"^(?:{'|'.join(re.escape(w) for w in rules.special)})(?:$|[ ：:])"] if rules.special else []
+    kind = F.when(any_of([*map(_java, rules.chapters), *words]), "chapter").when(any_of([*map(_java, rules.volumes)]), "volume")
+    return F.when(likely_heading(rules), kind)
 
 
 def headings(lines: DataFrame, key: str, rules: Rules | None = None) -> DataFrame:
@@ -79,10 +75,10 @@ def sections(lines: DataFrame, key: str, rules: Rules | None = None) -> DataFram
     """
     rows = headings(lines, key, rules)
     w = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.withColumns({"part": F.count("kind").over(w), "content": X.content_line("line")})
-    rows = rows.withColumn("volume", F.last(F.when(F.col("kind") == "volume", X.strip("line")), ignorenulls=True).over(w))
+    rows = rows.withColumns({"part": F.count("kind").over(w), "content": F.replace("bare", F.lit("　"), F.lit(""))})
+    rows = rows.withColumn("volume", F.last(F.when(F.col("kind") == "volume", F.col("bare")), ignorenulls=True).over(w))
     own = F.when(F.col("kind").isNull() & (F.col("content") != ""), F.struct("line_no", "content"))
-    parts = rows.groupBy(key, "part").agg(F.max("kind").alias("kind"), F.max(F.when(F.col("kind").isNotNull(), X.strip("line"))).alias("title"), F.min_by("volume", "line_no").alias("volume"), F.transform(F.sort_array(F.collect_list(own)), lambda x: x["content"]).alias("lines"))
+    parts = rows.groupBy(key, "part").agg(F.max("kind").alias("kind"), F.max(F.when(F.col("kind").isNotNull(), F.col("bare"))).alias("title"), F.min_by("volume", "line_no").alias("volume"), F.transform(F.sort_array(F.collect_list(own)), lambda x: x["content"]).alias("lines"))
     parts = parts.withColumns({"title": F.coalesce("title", F.lit("正文")), "kind": F.coalesce("kind", F.lit("chapter")), "first": F.col("kind").isNull()})
     kept = parts.where((F.size("lines") > 0) | ((F.col("kind") == "chapter") & ~F.col("first")))
     n = F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1
@@ -92,7 +88,7 @@ def sections(lines: DataFrame, key: str, rules: Rules | None = None) -> DataFram
 def volumes(lines: DataFrame, key: str, rules: Rules | None = None) -> DataFrame:
     """Every volume heading in order, with or without lines of its own."""
     rows = headings(lines, key, rules).where("kind = 'volume'")
-    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1).alias("volume_idx"), X.strip("line").alias("title"))
+    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1).alias("volume_idx"), F.col("bare").alias("title"))
 
 
 def section_counts(parts: DataFrame, key: str, titles: int = 10) -> DataFrame:
