@@ -222,17 +222,31 @@ def _link_greedily(group: pd.DataFrame) -> pd.DataFrame:
 def greedy_links(books: DataFrame, wishes: DataFrame) -> DataFrame:
     """(book_id, wish_id): unlinked tracker rows given to books without one, one to one, by title.
 
-    The order of the choices matters, so a title's rows go to one task; only titles on both sides do.
+    Books in the library's order each take the first free row of their title whose author does not contradict. Where
+    every row of a title names its author, the n-th book of an author takes the author's n-th row: a join of ranks.
+    Only titles with rows that name none are walked through, and of those only rows that could be taken at all: of one
+    author no more books than there are rows for them, and the other way round.
     """
     linked = wishes.where(X.book_link("library_book_id").isNotNull()).select(X.book_link("library_book_id").alias("book_id"))
     b = live(books).join(linked, "book_id", "left_anti").select(X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"), F.col("book_id").alias("key"), effective_updated().alias("at"), F.lit(0).alias("side"))
     w = wishes.where(X.book_link("library_book_id").isNull()).select(X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"), F.col("id").alias("key"), F.concat_ws("\x01", "updated_at", "created_at").alias("at"), F.lit(1).alias("side"))
-    both = b.select("title_key").intersect(w.select("title_key")).where("title_key <> ''")
-    rows = b.unionByName(w).join(both, "title_key")
-    # Of one author key within one title at most as many wishes count as there are books: the rest cannot be taken.
+    rows = b.unionByName(w).where("title_key <> ''")
+    n = lambda side, bare=None: F.count_if((F.col("side") == side) if bare is None else (F.col("side") == side) & (F.col("author_key") == ""))
+    titles = rows.groupBy("title_key").agg(n(0).alias("books"), n(1).alias("wishes"), n(0, True).alias("bare_books"), n(1, True).alias("bare_wishes")).where("books > 0 and wishes > 0")
+    met = rows.join(titles, "title_key")
+    own = Window.partitionBy("title_key", "author_key", "side").orderBy(F.desc("at"), "key")
+    ranked = met.withColumn("rank", F.row_number().over(own))
+    plain = ranked.where("bare_books = 0 and bare_wishes = 0")
+    on = ["title_key", "author_key", "rank"]
+    by_rank = plain.where("side = 0").select(*on, F.col("key").alias("book_id")).join(plain.where("side = 1").select(*on, F.col("key").alias("wish_id")), on).select("book_id", "wish_id")
+    rest = ranked.where("bare_books > 0 or bare_wishes > 0")
+    sizes = rest.groupBy("title_key", "author_key").agg(n(0).alias("own_books"), n(1).alias("own_wishes"))
+    rest = rest.join(sizes, ["title_key", "author_key"])
+    others = F.when(F.col("author_key") == "", F.when(F.col("side") == 0, F.col("wishes")).otherwise(F.col("books")))
+    most = F.coalesce(others, F.when(F.col("side") == 0, F.col("own_wishes") + F.col("bare_wishes")).otherwise(F.col("own_books") + F.col("bare_books")))
     order = Window.partitionBy("title_key", "side").orderBy(F.desc("at"), "key")
-    rows = rows.withColumn("ord", F.row_number().over(order)).select("title_key", "author_key", "key", "ord", "side")
-    return rows.groupBy("title_key").applyInPandas(_link_greedily, "book_id string, wish_id string")
+    walked = rest.where(F.col("rank") <= most).withColumn("ord", F.row_number().over(order)).select("title_key", "author_key", "key", "ord", "side")
+    return by_rank.unionByName(walked.groupBy("title_key").applyInPandas(_link_greedily, "book_id string, wish_id string"))
 
 
 # --- jobs

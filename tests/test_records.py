@@ -79,3 +79,25 @@ def test_templates(spark, tmp_path):
         themes.save(tmp_path, themes.Theme("u", "n", "p{"))
     df = spark.createDataFrame([(" a ", None), ("a", "b"), (None, " ")], "x string, y string")
     assert [r[0] for r in df.select(themes.composed(F.col("x"), F.col("y"))).collect()] == ["a", "a\n\nb", ""]
+
+
+def test_greedy_links_as_one_by_one(spark):
+    import random
+
+    r = random.Random(3)
+    bs = [(f"{i:032x}", r.choice("灯火海"), r.choice(["", "甲", "乙"]) if i % 2 else r.choice("甲乙"), str(r.randrange(9))) for i in range(60)]
+    ws = [(f"w{i:02}", r.choice("灯火海"), r.choice(["", "甲", "乙"]) if i % 3 else "甲", str(r.randrange(9))) for i in range(50)]
+    bs = [b for b in bs if b[1] != "海" or b[2]]
+    ws = [w for w in ws if w[1] != "海" or w[2]]
+    want, free = set(), sorted(ws, key=lambda w: (w[3], w[0]))
+    free = sorted(ws, key=lambda w: w[0])
+    free.sort(key=lambda w: w[3], reverse=True)
+    order = sorted(bs, key=lambda b: b[0])
+    order.sort(key=lambda b: b[3], reverse=True)
+    for b in order:
+        hit = next((w for w in free if w[1] == b[1] and (not b[2] or not w[2] or b[2] == w[2])), None)
+        if hit:
+            free.remove(hit)
+            want.add((b[0], hit[0]))
+    got = library.greedy_links(books(spark, *[{"book_id": i, "title": t, "author": a, "updated_at": u} for i, t, a, u in bs]), wishes(spark, *[{"id": i, "title": t, "author": a, "updated_at": u, "created_at": ""} for i, t, a, u in ws]))
+    assert {tuple(x) for x in got.collect()} == want
