@@ -36,7 +36,7 @@ from .lookalike import ALIKE, normal
 NO_AUTHOR = {*STAND_INS, "佚名", "未知", "匿名", "无名氏", "不详", "anonymous", "unknown", "unknown author", "anon", "various", "n/a", "none", "null", "author unknown", "作者不详", "未知作者", "unknownauthor", "无名", "未署名", "noauthor", "tba", "author", "作者"}
 #: Forms of address and pen-name endings; short forms take the last two.
 _ZH_TAIL = re.compile(r"(?:先生|女士|居士|主人|公子|老师|大大|散人|山人|大人|同学|君|客|大)$")
-_ZH_ORG = re.compile(r"(?:网络文学有限公司|文学有限公司|文化有限公司|有限公司|文化工作室|工作室|出版集团|出版社|出版|书社|文艺社|文学社|社)$")
+_ZH_ORG = re.compile(r"(?:网络文学有限公司|网络文学|文学有限公司|文化有限公司|有限公司|文化工作室|工作室|出版集团|出版社|出版|书社|文艺社|文学社|社)$")
 _ZH_ROLE = re.compile(r"(?:\(著\)|/文|/著|\(编\)|\(译\)| 著| 编| 译|作品)$")
 _ZH_BEFORE = re.compile(r"^(?:作者[:：]?|\(([^()]*(?:社|工作室|公司|出版))\)|\[?著\]?[:：])")
 _LATIN_ROLE = re.compile(r"(?:,? *\(?\b(?:ed|eds|editor|trans|translator|author|jr|sr|phd|md)\b\.?\)?)+$", re.I)
@@ -44,7 +44,7 @@ _LATIN_TITLE = re.compile(r"^(?:(?:dr|mr|mrs|ms|prof|sir|by)\b\.? *)+", re.I)
 _LATIN_ORG = re.compile(r"\b(?:publ|hse|pr|coll|writers['’]?s?|press|collective|company|co|studio|studios|publishing|publishers|editions|books|house|group|society|guild|ltd|inc|workshop)\b|&", re.I)
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 #: Short forms of given names.
-NICKNAMES = {"bill": "william", "will": "william", "bob": "robert", "rob": "robert", "dick": "richard", "rick": "richard", "ted": "theodore edward", "ned": "edward", "ed": "edward", "jim": "james", "jack": "john jonathan", "jon": "jonathan", "johnny": "john", "dot": "dorothy", "dottie": "dorothy", "lucy": "lucinda lucille", "peg": "margaret", "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "kate": "katherine catherine", "kathy": "katherine catherine", "cathy": "catherine", "kit": "christopher katherine", "chris": "christopher", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "lizzie": "elizabeth", "vicky": "victoria", "tori": "victoria", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "win": "winifred", "winnie": "winifred", "fred": "frederick", "freddie": "frederick", "greg": "gregory", "geoff": "geoffrey", "jeff": "geoffrey jeffrey", "larry": "lawrence", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "charlie": "charles", "chuck": "charles", "hal": "henry", "harry": "henry harold", "hank": "henry", "nick": "nicholas", "nate": "nathaniel", "nat": "nathaniel", "dan": "daniel", "danny": "daniel", "ben": "benjamin", "benny": "benjamin", "becky": "rebecca", "becca": "rebecca", "barb": "barbara", "babs": "barbara", "steph": "stephanie", "steffi": "stephanie", "flo": "florence", "flossie": "florence", "fran": "francesca frances", "frankie": "francesca francis", "hattie": "harriet", "nell": "eleanor helen", "ellie": "eleanor", "nora": "eleanor", "jo": "josephine", "josie": "josephine", "pip": "philippa", "pippa": "philippa", "penny": "penelope", "nelly": "penelope eleanor", "ronnie": "veronica", "vera": "veronica", "gabe": "gabriel", "sandy": "alexander", "alex": "alexander", "al": "albert alexander", "andy": "andrew", "drew": "andrew", "vince": "vincent", "vin": "vincent", "jake": "jacob", "sam": "samuel samantha", "mike": "michael", "mick": "michael", "oli": "oliver", "ollie": "oliver", "sue": "susannah susan", "susie": "susannah susan", "tilly": "matilda", "mattie": "matilda", "ursa": "ursula", "matt": "matthew", "tony": "anthony", "joe": "joseph", "zack": "zachary", "abby": "abigail", "debbie": "deborah", "gunni": "gunter", "ren": "renee"}
+NICKNAMES = {"bill": "william", "will": "william", "bob": "robert", "rob": "robert", "dick": "richard", "rick": "richard", "ted": "theodore edward", "ned": "edward", "ed": "edward", "jim": "james", "jack": "john jonathan", "jon": "jonathan", "johnny": "john", "dot": "dorothy", "dottie": "dorothy", "lucy": "lucinda lucille", "peg": "margaret", "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "kate": "katherine catherine", "kathy": "katherine catherine", "cathy": "catherine", "kit": "christopher katherine", "chris": "christopher", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "lizzie": "elizabeth", "vicky": "victoria", "tori": "victoria", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "win": "winifred", "winnie": "winifred", "fred": "frederick", "freddie": "frederick", "greg": "gregory", "geoff": "geoffrey", "jeff": "geoffrey jeffrey", "larry": "lawrence", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "charlie": "charles", "chuck": "charles", "hal": "henry", "harry": "henry harold", "hank": "henry", "nick": "nicholas", "nate": "nathaniel", "nat": "nathaniel", "dan": "daniel", "danny": "daniel", "ben": "benjamin", "benny": "benjamin", "becky": "rebecca", "becca": "rebecca", "barb": "barbara", "babs": "barbara", "steph": "stephanie", "steffi": "stephanie", "flo": "florence", "flossie": "florence", "fran": "francesca frances", "frankie": "francesca francis", "hattie": "harriet", "nell": "eleanor helen", "ellie": "eleanor", "nora": "eleanor", "jo": "josephine", "josie": "josephine", "pip": "philippa", "pippa": "philippa", "penny": "penelope", "nelly": "penelope eleanor", "ronnie": "veronica", "vera": "veronica", "gabe": "gabriel", "sandy": "alexander", "alex": "alexander", "al": "albert alexander", "andy": "andrew andre", "drew": "andrew", "vince": "vincent", "vin": "vincent", "jake": "jacob", "sam": "samuel samantha", "mike": "michael", "mick": "michael", "oli": "oliver", "ollie": "oliver", "sue": "susannah susan", "susie": "susannah susan", "tilly": "matilda", "mattie": "matilda", "ursa": "ursula", "matt": "matthew", "tony": "anthony", "joe": "joseph", "zack": "zachary", "abby": "abigail", "debbie": "deborah", "gunni": "gunter", "ren": "renee", "matyi": "matyas", "ulla": "ursula", "iggy": "ignatius", "len": "leonard", "lenny": "leonard", "nes": "ines", "tina": "celestine christina", "debs": "deborah", "steve": "steven stephen", "dave": "david", "phil": "philip", "ray": "raymond", "ron": "ronald", "don": "donald", "ken": "kenneth", "jerry": "gerald jeremy", "terry": "terence theresa", "cindy": "cynthia lucinda", "mandy": "amanda", "jenny": "jennifer", "katie": "katherine catherine", "molly": "mary", "polly": "mary", "nancy": "ann anne", "sally": "sarah", "toby": "tobias", "max": "maximilian", "gus": "augustus", "archie": "archibald", "bert": "albert herbert robert", "bella": "isabella", "izzy": "isabella isidore", "lottie": "charlotte", "millie": "mildred amelia", "trudy": "gertrude"}
 _PINYIN = re.compile(r"(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|ei|ui|ao|ou|iu|ie|ue|ve|er|an|en|in|un|ia|ua|uo|a|o|e|i|u|v)")
 #: Where each initial of the Latin transcription begins among the characters that the national character
 #: set orders by sound, as that set's codes.
@@ -108,6 +108,7 @@ def parse(raw: str | None) -> dict | None:
             v, org = m.group(2), True
         v = _ZH_ROLE.sub("", v)
         v = re.sub(r"^作者[:：]?\s*", "", v)
+        v = re.sub(r"^[^\w]*(?:网络文学有限公司|文化工作室|工作室|出版社|书社)(?=[^\w]*\w{3,})", "", v)
         flat = re.sub(r"[^\w]", "", v)
         latin = re.sub(r"[^A-Za-z]", "", unicodedata.normalize("NFD", v))
         tail = ""
@@ -154,7 +155,7 @@ def zh_keys(core: str) -> list[str]:
     if len(core) >= 4:
         keys += [f"d:{rotation(core[:i] + core[i + 1 :])}" for i in range(len(core))]
         keys += [f"d:{rotation(core)}"]
-        keys += [f"p:{core[:3]}"]
+        keys += sorted({f"p:{(core[i:] + core[:i])[:3]}" for i in (0, 2, 3)})
         if len(core) in (5, 6):  # two characters of another writing
             odd = [i for i, x in enumerate(core) if not simplified(x)]
             two = itertools.combinations(range(len(core)), 2) if not odd else [tuple(odd)] if len(odd) == 2 else []
@@ -204,7 +205,10 @@ def zh_likelihood(form: str, name: str) -> float:
         return -0.7
     n = len(name)
     if len(form) <= 3:
-        return -2.5 if n >= 4 and name.startswith(form) and len(form) >= 2 else _NEVER
+        if n < 4 or len(form) < 2:
+            return _NEVER
+        # The first characters, or those of the name with its two parts in the other order.
+        return -2.5 if name.startswith(form) else -4.0 if any((name[i:] + name[:i]).startswith(form) for i in (2, 3)) and len(form) == 3 else _NEVER
     if n < 4:
         return _NEVER
     # One typing error leaves all but one character in common, in whatever rotation.
@@ -235,7 +239,8 @@ def _token_like(x: str, y: str, family: bool) -> float:
         return -1.5
     if not family and min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x)):
         return -2.0
-    return -3.5 if min(len(x), len(y)) >= 5 and distance(x, y, 1) <= 1 else _NEVER
+    least = 5 if family or len(x) == len(y) else 4  # of four letters only a lost one is no other name
+    return -3.5 if min(len(x), len(y)) >= least and distance(x, y, 1) <= 1 else _NEVER
 
 
 def la_likelihood(form: str, name: str) -> float:
