@@ -262,11 +262,12 @@ def pieces(text: str | None) -> list[tuple[int, int, str]]:
     return [(n.start, n.end, LABELS[k]) for n, k in zip(nodes, best, strict=True) if k]
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, own: list[tuple[int, int, str]] | None = None) -> str | None:
+    """The text with typed placeholders for its pieces."""
     if not text:
         return text
     out, last = [], 0
-    for a, b, kind in pieces(text):
+    for a, b, kind in pieces(text) if own is None else own:
         out += [text[last:a], f"[{kind.upper()}]"]
         last = b
     return "".join(out) + text[last:]
@@ -290,6 +291,8 @@ def redacted(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([redact(t) for t in texts], pa.string()), pa.array([len(pieces(t)) for t in texts], pa.int32())], ["doc_id", "text", "pieces"])
+            found = [pieces(t) for t in texts]
+            plain = [redact(t, own) for t, own in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(plain, pa.string()), pa.array(list(map(len, found)), pa.int32())], ["doc_id", "text", "pieces"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, pieces int")
