@@ -184,6 +184,16 @@ def distance(a: str, b: str, most: int = 2) -> int:
     """Edits with neighbouring letters changing places, up to most + 1."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    i, j, k = 0, len(a), len(b)
+    while i < j and i < k and a[i] == b[i]:
+        i += 1
+    while j > i and k > i and a[j - 1] == b[k - 1]:
+        j, k = j - 1, k - 1
+    a, b = a[i:j], b[i:k]  # a common head and tail cost nothing
+    if max(len(a), len(b)) <= 1:
+        return max(len(a), len(b))
+    if most == 1:
+        return 1 if len(a) == len(b) == 2 and a == b[::-1] else 2
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
