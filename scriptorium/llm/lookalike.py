@@ -37,7 +37,7 @@ _SCRIPT = [("Latn", regex.compile(r"\p{Latin}")), ("Cyrl", regex.compile(r"\p{Cy
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Zs}\p{So}]")
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-_SUSPECT = regex.compile(r"[^\x00-\x7f一-鿿　-〃〈-】…—“”‘’·！（），：；？～]")
+_SUSPECT = regex.compile(r"[^\x00-\x7f一-鿿、-〃〈-】…—“”‘’·！（），：；？～]")
 _SWITCH, _REPLACE = -6.0, -3.0
 
 

@@ -27,3 +27,11 @@ def test_rows(books, wishes, spark):
     assert ("books", "a", "title") not in {tuple(r) for r in k.found(b, w, gone).collect()}
     assert k.normalized(b, w).count() == 8
     assert k.found(books(), wishes(), none).count() == 0
+
+
+def test_ideographic_space_alone(books, wishes, spark):
+    b = books({"book_id": "a", "title": "The　Burning Lantern"}, {"book_id": "b", "title": "盐园，《灯》", "author": "陈　桂"})
+    w = wishes({"id": "w", "title": "Salt Orchard　"})
+    none = spark.createDataFrame([], "field string, book_id string")
+    assert {tuple(r) for r in k.found(b, w, none).collect()} == {("books", "a", "title"), ("books", "b", "author"), ("wishlist", "w", "title")}
+    assert {r.record_id: r.consistent for r in k.normalized(b, w).where("field = 'title'").collect()} == {"a": "The Burning Lantern", "b": "盐园，《灯》", "w": "Salt Orchard "}
