@@ -37,8 +37,6 @@ CHAINS = ["", *SINGLE, "utf-8>cp1252>cp1252", *DOUBLE, *BY_GBK, "gb18030>big5",
 #: Sources kept on the driver while the chains' shares are learned: more are refused.
 MOST_SOURCES = 100_000
 ROUNDS = 4
-#: Log-probability under which a character is rare, and what a chain must gain to be considered.
-_RARE, _GAIN = -11.5, 6.5
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 #: Two characters or more, or one of the commonest marks: general punctuation, CJK punctuation, full-width forms.
@@ -147,33 +145,34 @@ def _by_double(v: str, encoding: str, log_p: np.ndarray) -> str:
     return "".join(out) + v[last:] if out else v
 
 
-@lru_cache(maxsize=1 << 16)
-def _big5_as_gbk(c: str) -> str | None:
-    try:
-        x = c.encode("big5").decode("gb18030")
-    except UnicodeError:
-        return None
-    return x if len(x) == 1 else None
+@lru_cache(maxsize=1)
+def _big5_as_gbk() -> np.ndarray:
+    """What every code point reads as, GBK bytes having been read as Big5; -1 where it does not read back."""
+    out = np.full(0x110000, -1, np.int32)
+    out[:128] = np.arange(128)
+    for i in range(128, 0x10000):
+        try:
+            x = chr(i).encode("big5").decode("gb18030")
+        except UnicodeError:
+            continue
+        if len(x) == 1:
+            out[i] = ord(x)
+    return out
 
 
 def _by_big5(v: str, log_p: np.ndarray) -> str:
     """GBK bytes read as Big5: character by character, in the stretch where that makes the text likelier by most."""
     codes = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32)
-    own = log_p[codes]
-    if (own[codes > 127] < _RARE).sum() < 2:
+    read = _big5_as_gbk()[codes]
+    step = np.where(read >= 0, log_p[read] - log_p[codes], -6.0)
+    total = np.concatenate(([0.0], np.cumsum(step, dtype=float)))
+    above = total - np.minimum.accumulate(total)
+    hi = int(above.argmax())
+    if above[hi] <= 0:
         return v
-    read = [c if c.isascii() else _big5_as_gbk(c) for c in v]
-    best = total = 0.0
-    begin = lo = hi = 0
-    for i, x in enumerate(read):
-        total += float(log_p[ord(x)] - own[i]) if x else -6.0
-        if total <= 0:
-            total, begin = 0.0, i + 1
-        elif total > best:
-            best, lo, hi = total, begin, i + 1
-    text = "".join(x or v[lo + k] for k, x in enumerate(read[lo:hi]))
-    wide = [x for x in read[lo:hi] if x and not x.isascii()]
-    return v[:lo] + text + v[hi:] if best > 10 and len(wide) >= 3 and _IDEOGRAPH.search(text) else v
+    lo = hi - 1 - int(total[:hi][::-1].argmin())
+    text = "".join(chr(x) if x >= 0 else c for x, c in zip(read[lo:hi].tolist(), v[lo:hi], strict=True))
+    return v[:lo] + text + v[hi:] if _IDEOGRAPH.search(text) else v
 
 
 def readings(v: str, log_p: np.ndarray) -> list[tuple[int, str]]:
@@ -267,7 +266,9 @@ def weighed(v: str, log_p: np.ndarray) -> list[tuple[int, float, str]]:
             continue
         a, b = _trimmed(v, x)
         gain = _ll(log_p, b) - _ll(log_p, a)
-        if gain > _GAIN:
+        if CHAINS[chain] == "gb18030>big5":  # the best of all stretches: each is as likely to be the garbled one
+            gain -= math.log(len(v) * (len(v) + 1) / 2)
+        if gain > 0:
             out.append((chain, gain + (20.0 if _lost(v) else 0.0), x))
     return out
 

@@ -51,3 +51,17 @@ def test_rows(spark, books):
     fixed = {(r.book_id, r.line_no): (r.restored, r.whole) for r in m.repaired(b, s).collect()}
     assert fixed["c", 1] == (CLEAN[0], True) and fixed["c", 2] == ("x�y", False)
     assert m.found(books(), s.where("book_id = 'none'")).count() == 0
+
+
+def test_common_garbled_characters_are_still_found(spark, books):
+    # A tenth of the text is GBK read as Big5: none of its characters is rare.
+    bad = "".join(x.encode("gbk").decode("big5", "ignore") or x for x in CLEAN[1])
+    rows = [("b", i, "s", [CLEAN[i % 2]]) for i in range(90)] + [("c", i, "s", [bad]) for i in range(10)]
+    s = spark.createDataFrame(rows, "book_id string, section_idx int, site string, lines array<string>")
+    assert {tuple(r) for r in m.found(books(), s).collect()} == {("lines", "c", i, 0) for i in range(10)}
+
+
+def test_weak_evidence_is_kept_for_its_source():
+    log_p = np.full(0x110000, -10.0, np.float32)
+    log_p[[ord("Ã"), ord("©")]] = -6.5
+    assert ("utf-8>cp1252", 3.0, "café") in [(m.CHAINS[c], round(g, 3), x) for c, g, x in m.weighed("cafÃ©", log_p)]
