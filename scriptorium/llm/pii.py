@@ -66,7 +66,7 @@ EN_ADDRESS = re.compile(rf"(?:(?:Flat|Apt|Apartment|Unit|Suite) [0-9A-Z]+, ?)?(?
 FR_ADDRESS = re.compile(rf"(?<!\d)\d{{1,4}}(?: (?:bis|ter))?,? (?:rue|avenue|impasse|quai|place|boulevard|allée|chemin|cours|passage) (?:(?:de la|de l’|des|du|de|d’|de l')[ ]?)?{_W}(?:[ \-]{_W})*(?:, (?:appt?\.? ?\d+, )?\d{{5}} {_W}(?:[ \-]{_W})*)?")
 
 #: Common family names.
-SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林钟徐邱骆高夏蔡田樊胡霍万柯管卢莫解丁邓洪石崔龚程陆荣段刘叶黎白"
+SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯管卢莫经房裘缪干解应宗丁宣邓郁单杭洪包诸左石崔吉钮龚程嵇邢裴陆荣翁荀羊惠甄曲家封芮储靳段富巫乌焦巴弓牧山谷车侯全班秋仲伊宫宁仇栾甘厉戎祖武符刘景詹束龙叶幸司韶黎薄印宿白怀蒲从鄂索赖卓蔺屠蒙池乔阴胥能苍双闻莘党翟谭贡劳逄姬申扶堵冉宰郦雍桑桂牛寿通边扈燕冀浦尚农温别庄晏柴瞿阎连习艾鱼容向古易慎戈廖庾终居衡步都耿满弘匡国文寇广东欧沃利蔚越师巩聂晁勾敖融冷辛阚那简饶曾沙养鞠丰关相查后荆红游权盖益桓公肖"
 COMPOUND = "欧阳|上官|司马|诸葛|慕容|司徒|东方|南宫|皇甫|尉迟|公孙|令狐|长孙|宇文|轩辕|夏侯|端木|百里|独孤|西门"
 _ZH_NAME = rf"(?:(?:{COMPOUND})[一-龥]{{1,2}}|[{SURNAMES}][一-龥]{{1,2}})"
 #: Cues, before and after, that name a Chinese person; the text between must have the shape of a name.
@@ -83,6 +83,9 @@ ZH_CUES = [
     (r"(?:——|—— )", r"(?=\s*(?:\n|$|\r))"),
 ]
 _ZH_CUES = [re.compile(f"(?:{a})(?P<n>{_ZH_NAME}){b}", re.M) for a, b in ZH_CUES]
+_NO_ZH_NAME = {"不详", "未知", "未详", "佚名", "匿名", "无名", "无名氏", "保密", "同上", "本站", "本人", "客服", "管理员", "编辑部"}
+#: Behind a label or words that only a name follows, two to four ideographs are one even without a listed family name.
+_ZH_SURE = [re.compile(f"(?:{a})(?P<n>[一-龥]{{2,4}}){b}", re.M) for a, b in (ZH_CUES[0], (r"(?:我叫|我的名字叫|名叫)", ZH_CUES[1][1]), *ZH_CUES[5:6], *ZH_CUES[7:9])]
 _TITLED = re.compile(rf"(?<![一-龥])(?P<n>{_ZH_NAME})(?:先生|女士|小姐|老师|同学|编辑|同志)(?![一-龥]{{0,2}}(?:想起|吹|在|把|却|这))")
 _CAP = r"(?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][A-Za-zÀ-ÿ]*[a-zà-ÿA-ZÀ-Þ](?:[’'\-][A-ZÀ-Þ][A-Za-zÀ-ÿ]+)*)"
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Monsieur|Madame)\.? )?"
@@ -126,6 +129,10 @@ def _name_spans(t: str) -> Iterator[tuple[int, int, float]]:
     for cue in _ZH_CUES:
         for m in cue.finditer(t):
             yield *m.span("n"), 4.0
+    for cue in _ZH_SURE:
+        for m in cue.finditer(t):
+            if m.group("n") not in _NO_ZH_NAME:
+                yield *m.span("n"), 1.0
     for m in _TITLED.finditer(t):
         yield *m.span("n"), -0.5
     for cue in [*_EN_CUES, _REPLIED]:

@@ -50,3 +50,10 @@ def test_rows(spark):
     assert sorted(r.pieces for r in pii.redacted(d).collect()) == [0, 0, 0, 1, 2]
     assert pii.redact("邮箱 a@b.test ，") == "邮箱 [EMAIL] ，"
     assert pii.found(d.where("doc_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["曾志强", "肖红", "温小海", "凌云", "仝志强", "买买提江"])
+def test_names_without_a_common_family_name(name):
+    assert got(f"联系人：{name}。") == [("name", name)]
+    assert name not in pii.redact(f"我叫{name}，写书的。")
+    assert got("联系人：不详。") == []
