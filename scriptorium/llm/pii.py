@@ -58,8 +58,11 @@ ID_NUMBER = re.compile(
     r")(?![\dA-Za-z])"
 )
 _NUM = r"[0-9一二三四五六七八九十百]+"
-ZH_ROAD = re.compile(rf"[一-龥]{{2}}(?:大道|大街|路|街|巷|弄|胡同){_NUM}(?:-{_NUM})?号(?:院内|院)?(?:{_NUM}(?:号楼|栋|幢|座|单元|楼|层|室|号|户))*(?:[A-Z0-9]+室)?")
-_ZH_PLACE = re.compile(r"[一-龥]{2}(?:省|市|县|区|镇|乡|村|州)$")
+ZH_ROAD = re.compile(rf"(?<=[一-龥])(?:大道|大街|路|街|巷|弄|胡同){_NUM}(?:-{_NUM})?号(?:院内|院)?(?:{_NUM}(?:号楼|栋|幢|座|单元|楼|层|室|号|户))*(?:[A-Z0-9]+室)?")
+#: Ideographs of the names of places and roads before a road's kind; words like 'at', 'to' and 'I' end them.
+_ZH_RUN = re.compile(r"(?:(?![的了着过我你他她它们这那是说在到寄住往至位于])[一-龥])+$")
+_ZH_LABEL = re.compile(r".*(?:地址|住址|地点)")
+_ZH_PLACES = "省市县区镇乡村州"
 _W = r"[A-ZÀ-Þ][A-Za-zÀ-ÿ’'\-]+"
 _STREET = "Street|Avenue|Road|Lane|Row|Close|Drive|Court|Place|Square|Terrace|Way|Walk|Hill|Mews|Gate|Wharf|Green|Gardens|Parade|Rise|Grove|Yard|Alley|Crescent|Boulevard|St\\.|Ave\\.|Rd\\."
 EN_ADDRESS = re.compile(rf"(?:(?:Flat|Apt|Apartment|Unit|Suite) [0-9A-Z]+, ?)?(?<![\d])\d{{1,5}}[A-Z]? (?:{_W} ){{1,3}}(?:{_STREET})(?![a-z])(?:,? (?:Flat|Apt|Apartment|Unit|Suite)\.? [0-9A-Z]+)?(?:, {_W}(?: {_W})?(?: \d{{5}}(?:-\d{{4}})?)?)?")
@@ -147,6 +150,24 @@ def _name_spans(t: str) -> Iterator[tuple[int, int, float]]:
                 yield a, b, 4.0
 
 
+def _zh_start(t: str, road: int) -> int:
+    """Where an address begins whose road's kind stands at a place: parts of one to six ideographs, walked back."""
+    run = _ZH_RUN.search(t, max(0, road - 60), road)
+    if not run:
+        return road
+    least = run.start()
+    if label := _ZH_LABEL.match(t, least, road):
+        least = label.end()
+    a = end = road
+    while a > least:
+        # The part reaches back to the place before it, if one is near, or to where the run begins.
+        a = next((i for i in range(end - 1, max(least, end - 7), -1) if t[i - 1] in _ZH_PLACES and i - 1 > least), 0)
+        if not a:
+            return least if end - least <= 6 else end - 2
+        end = a - 1
+    return a
+
+
 def candidates(text: str) -> list[Node]:
     """The nodes of a text, in order; of overlapping spans the likelier, then the longer one."""
     t = text.translate(_FULL)
@@ -179,10 +200,9 @@ def candidates(text: str) -> list[Node]:
         nodes.append(Node(*m.span(), "phone", odds, digits))
     if "号" in t:
         for m in ZH_ROAD.finditer(t):
-            a = m.start()
-            while p := _ZH_PLACE.search(t, max(0, a - 3), a):
-                a = p.start()
-            nodes.append(Node(a, m.end(), "address", 4.0, t[a : m.end()]))
+            a = _zh_start(t, m.start())
+            if a < m.start():
+                nodes.append(Node(a, m.end(), "address", 4.0, t[a : m.end()]))
     for shape in (EN_ADDRESS, FR_ADDRESS):
         nodes += [Node(*m.span(), "address", 3.5, m.group().lower()) for m in shape.finditer(t)]
     named = [Node(a, b, "name", odds, " ".join(sorted(re.findall(r"\w+", t[a:b].lower())))) for a, b, odds in _name_spans(t)]

@@ -57,3 +57,9 @@ def test_names_without_a_common_family_name(name):
     assert got(f"联系人：{name}。") == [("name", name)]
     assert name not in pii.redact(f"我叫{name}，写书的。")
     assert got("联系人：不详。") == []
+
+
+@pytest.mark.parametrize("address", ["黑龙江省哈尔滨市南岗区解放北路12号", "石家庄市长安区中山路12号", "呼和浩特市新城大街5号", "沙路3号"])
+@pytest.mark.parametrize("before", ["", "样书请寄到", "我住在", "收件地址：", "他走过"])
+def test_addresses_with_parts_of_any_length(before, address):
+    assert got(f"{before}{address}。") == [("address", address)]
