@@ -156,27 +156,31 @@ def zh_keys(core: str) -> list[str]:
         keys += [f"d:{rotation(core[:i] + core[i + 1 :])}" for i in range(len(core))]
         keys += [f"d:{rotation(core)}"]
         keys += sorted({f"p:{(core[i:] + core[:i])[:3]}" for i in (0, 2, 3)})
+        keys += [f"wp:{core[:2]}:2"]  # met by short forms only, as plain keys by those of another writing
         if len(core) in (5, 6):  # two characters of another writing
             odd = [i for i, x in enumerate(core) if not simplified(x)]
             two = itertools.combinations(range(len(core)), 2) if not odd else [tuple(odd)] if len(odd) == 2 else []
             keys += [f"w{'o' if odd else 'p'}:{rotation(''.join(x for k, x in enumerate(core) if k not in (i, j)))}:{len(core)}" for i, j in two]
     else:
-        keys += [f"p:{core}"]
+        keys += [f"p:{core}"] + ([f"wo:{core}:2"] if len(core) == 2 else [])
     return keys
 
 
 def la_keys(core: str) -> list[str]:
     tokens = core.split()
-    long = [t for t in tokens if len(t) >= 5]
+    joined = "".join(tokens)
     keys = {f"j:{''.join(tokens)}", f"j:{''.join(t for t in tokens if len(t) > 1)}", f"j:{''.join(sorted(tokens))}"}
+    if len(joined) > 40:  # one error leaves one half whole; lengths may differ by one
+        keys |= {f"h:{x}" for h in {(len(joined) - k) // 2 for k in (1, 2, 3)} for x in (f"a{joined[:h]}", f"z{joined[-h:]}")}
     if len(tokens) == 1:
         keys |= {f"j:{core[:i] + core[i + 1 :]}" for i in range(len(core))} if len(core) <= 40 else set()
         return sorted(keys)
-    for t in long:
+    for t in (t for t in tokens if len(t) >= 2):
         rest = {x[0] for x in tokens if x is not t} | {y[0] for x in tokens if x is not t for y in NICKNAMES.get(x, "").split()}
         for c in rest:
             keys.add(f"f:{t}:{c}")
-            keys |= {f"f:{t[:i] + t[i + 1 :]}:{c}" for i in range(len(t))}
+            if len(t) >= 5:  # errors in shorter parts make another name
+                keys |= {f"f:{t[:i] + t[i + 1 :]}:{c}" for i in range(len(t))}
     return sorted(keys)
 
 

@@ -41,3 +41,14 @@ def test_works(books, wishes):
     assert not {("a", "2"), ("b", "3"), ("b", "4"), ("c", "4")} & set(got)
     assert not {k for k in got if k[0] in "ef"} and all(0.5 <= p <= 1 for p in got.values())
     assert entity.matched(books(), wishes()).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("j ford", "john ford"), ("bob reed", "robert reed"), ("enry ford", "henry ford"), ("x" * 30 + "abcdefghijklmno", "x" * 30 + "abcdefgijklmno"), ("ab" + "c" * 40, "ba" + "c" * 40)])
+def test_accepted_latin_forms_share_a_key(a, b):
+    assert names.la_likelihood(a, b) > names._NEVER
+    assert set(names.la_keys(a)) & set(names.la_keys(b))
+
+
+def test_two_characters_meet_the_full_name():
+    assert names.zh_likelihood("青石", "青石散人") > names._NEVER
+    assert "wo:青石:2" in names.zh_keys("青石") and "wp:青石:2" in names.zh_keys("青石散人")
