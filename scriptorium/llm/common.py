@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Intermediate tables written so far, by application: they go when the session ends, or when `clear` is called.
+_WRITTEN: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where the session names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = os.path.join(tempfile.gettempdir(), "scriptorium-shared")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+    """The cluster's shared folder. A session of one machine that names none gets its own; a cluster must name one."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: lineage is cut by tables written there")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="scriptorium-")
+    return _OWN[app]
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, an executor's loss costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/scriptorium-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scriptorium-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this session; results read from them must have been written before."""
+    gone = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in gone:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
+    return len(gone)
 
 
 def instant(text: Column) -> Column:

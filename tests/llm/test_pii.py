@@ -63,3 +63,48 @@ def test_names_without_a_common_family_name(name):
 @pytest.mark.parametrize("before", ["", "样书请寄到", "我住在", "收件地址：", "他走过"])
 def test_addresses_with_parts_of_any_length(before, address):
     assert got(f"{before}{address}。") == [("address", address)]
+
+
+#: What no cue names: other case, a missing or misspelt part, a reordered one, a number's other spelling.
+HARD = [
+    ("Reviewed by Maria Garcia Lopez. Later Maria Lopez found two more pages.", ["Maria Lopez"]),
+    ("Thanks to Emily Watson for the map.\nEMILY WATSON keeps the originals.", ["EMILY WATSON"]),
+    ("Contact: Winifred Tebimenker\nAsk Winifrid Tebimenker for the rest.", ["Winifrid Tebimenker"]),
+    ("My name is Theodore Zenbenfe. Letters for Zenbenfe, Theodore go to the desk.", ["Zenbenfe, Theodore"]),
+    ("联系人：陈桂洛。听说陈桂洛已搬走。", ["陈桂洛"]),
+]
+
+
+def test_the_field_decides(capsys):
+    """Without messages the hard pieces are lost: they are found by skip edges alone."""
+    on = off = 0
+    for text, want in HARD:
+        with_field = [text[a:b] for a, b, _ in pii.pieces(text)]
+        without = [text[a:b] for a, b, _ in pii.pieces(text, rounds=0)]
+        on += sum(with_field.count(w) > without.count(w) for w in want)
+        off += sum(w in without for w in want if without.count(w) == with_field.count(w))
+    assert (on, off) == (len(HARD), 0)
+
+
+def test_a_garden_is_no_relative():
+    assert [x for _, x in got("Thanks to Rose Walker for the map. The Rose Garden was closed.")] == ["Rose Walker"]
+
+
+def test_weights_are_learned(spark):
+    """A word that no list holds stands before names that a cue names elsewhere: it is learned as a cue."""
+    names = ["陈桂洛", "李苍礁", "韦莱", "沈深海", "孔桃凰", "郎朵琼", "许冰朵", "鲍雪香"]
+    rows = [(f"联系人：{n}。" + "雨停了。" * 20 + f"接洽者：{n}，有事写信。") for n in names for _ in range(4)] + [f"人物：{n}，写得好。" for n in ["白狼王", "黄风怪"]] * 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, "接洽者：马石伞，有事写信。"])], "doc_id long, text string")
+    field = pii.trained(docs)
+    hard = "接洽者：马石伞，有事写信。"
+    assert pii.pieces(hard) == [] and [hard[a:b] for a, b, _ in pii.pieces(hard, field)] == ["马石伞"]
+    assert pii.pieces("人物：白狼王，写得好。", field) == []
+    assert (len(rows), "name", "马石伞") in {tuple(r) for r in pii.found(docs).collect()}
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    t = time.time()
+    text = "联系人：陈桂洛。" + "陈桂洛来了，电话 13912345678。Dear Ada Zimevi, " * 20_000
+    assert len(pii.pieces(text)) > 20_000 and time.time() - t < 60
