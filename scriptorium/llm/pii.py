@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ SAMPLE, LEAST, LIMIT = 4_000, 5, 2.5
 MENTION, SINGLE, UNCUED = -0.7, -3.9, -1.5
 
 #: Full-width digits, letters and signs read as the ordinary ones; one character for one, so places stay.
-_FULL = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F) if chr(i - 0xFEE0).isalnum() or chr(i - 0xFEE0) in "@+-().#"}
+_FULL = re.compile("[０-９Ａ-Ｚａ-ｚ＠＋－（）．＃]")
 
 _AT = r"(?: ?[@] ?| ?(?:\[at\]|\(at\)|\{at\}) ?)"
 _DOT = r"(?:\.| ?(?:\[dot\]|\(dot\)|\{dot\}) ?)"
@@ -176,34 +177,46 @@ def _trim(t: str, a: int, b: int) -> tuple[int, int, list[str]]:
     return a, b, words
 
 
+_FORMS = ("先生", "女士", "小姐", "老师", "同学", "编辑", "同志")
+#: (pattern, cue words of which a match holds one, log-odds).
+_PATTERNS = [(p, w, 4.0) for p, w in _ZH_CUES] + [(p, w, 1.0) for p, w in _ZH_SURE] + [(_ROLED, _FORMS, 3.0), (_TITLED, _FORMS, -0.5)]
+_LATIN_PATTERNS = [*_EN_CUES, (_REPLIED, ("from the", "replied"))]
+
+
+def _finder():
+    """All cue words at once: each with the patterns that ask for it."""
+    of: dict[str, set[int]] = {}
+    for i, (_, words, *_) in enumerate([*_PATTERNS, *_LATIN_PATTERNS]):
+        for w in words:
+            of.setdefault(w, set()).add(i)
+    a = ahocorasick.Automaton()
+    for w, which in of.items():
+        a.add_word(w, frozenset(which))
+    a.make_automaton()
+    return a
+
+
+_CUE_WORDS = _finder()
+
+
 def _name_spans(t: str) -> Iterator[tuple[int, int, float]]:
-    has = lambda words: any(w in t for w in words)
-    for cue, words in _ZH_CUES:
-        if has(words):
-            for m in cue.finditer(t):
-                yield *m.span("n"), 4.0
-    for cue, words in _ZH_SURE:
-        if has(words):
+    asked: set[int] = set()
+    for _, which in _CUE_WORDS.iter(t):
+        asked |= which
+    for i in sorted(asked):
+        if i < len(_PATTERNS):
+            cue, _, odds = _PATTERNS[i]
             for m in cue.finditer(t):
-                if m.group("n") not in _NO_ZH_NAME:
-                    yield *m.span("n"), 1.0
-    if has(("先生", "女士", "小姐", "老师", "同学", "编辑", "同志")):
-        for m in _ROLED.finditer(t):
-            yield *m.span("n"), 3.0
-        for m in _TITLED.finditer(t):
-            yield *m.span("n"), -0.5
-    if has(("：", ":")) or "\n" in t:
-        for m in _ZH_UNCUED.finditer(t):
-            if m.group("n") not in _NO_ZH_NAME:
-                yield *m.span("n"), UNCUED
-    replied = [(_REPLIED, ("from the", "replied"))]
-    for cue, words in [*_EN_CUES, *replied]:
-        if not has(words):
-            continue
-        for m in cue.finditer(t):
-            a, b, words = _trim(t, *m.span("n"))
-            if len(words) >= 2 and words[0] not in _NO_NAME:
-                yield a, b, 4.0
+                if odds != 1.0 or m.group("n") not in _NO_ZH_NAME:
+                    yield *m.span("n"), odds
+        else:
+            for m in _LATIN_PATTERNS[i - len(_PATTERNS)][0].finditer(t):
+                a, b, words = _trim(t, *m.span("n"))
+                if len(words) >= 2 and words[0] not in _NO_NAME:
+                    yield a, b, 4.0
+    for m in _ZH_UNCUED.finditer(t):
+        if m.group("n") not in _NO_ZH_NAME:
+            yield *m.span("n"), UNCUED
 
 
 def _like(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
@@ -368,7 +381,7 @@ def _addresses(t: str, runs: list[tuple[int, int]]) -> Iterator[Node]:
 def candidates(text: str) -> list[Node]:
     """The nodes of a text, in order; of overlapping spans the likelier, then the longer one. Two kinds of the same
     span are one node with the odds of both."""
-    t = text.translate(_FULL)
+    t = _FULL.sub(lambda m: chr(ord(m.group()) - 0xFEE0), text)
     runs = [m.span() for m in _DIGITS.finditer(t)]
     nodes = [*_emails(t), *_numbers(t, runs), *_addresses(t, runs)]
     named = [Node(t[a:b], a, b, "name", odds, _name_keys(t[a:b])) for a, b, odds in _name_spans(t)]
