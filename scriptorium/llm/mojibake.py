@@ -4,7 +4,9 @@ Method: each value's encoding chain is latent. A chain says in which encoding th
 read; reading back gives the original. The likelihood of a value under a chain is that of the text read back, under the
 corpus's own character frequencies; 'no chain' leaves the value as it is. Expectation-maximization learns how common
 each chain is in each source and field, so weak evidence of one value leans on the others of its source; a value is
-repaired under its most probable chain. Only parts of a value that read back as valid text change.
+repaired under its most probable chain. Every reading that makes a value likelier at all takes part. A book's fields
+have the site of its sections as source. The shares are a table with one row a source and field, joined to the values
+in every round: sources may be as many as books. Only parts of a value that read back as valid text change.
 
 Defined cases: NULL and empty values and NULL lines are no cases; a replacement character in a value always makes it a
 case, which cannot be restored in full; very long values are read whole; repeated rows give one case; other columns are
@@ -19,11 +21,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut
 from .fold import code_points
@@ -34,9 +34,9 @@ SINGLE = {"utf-8>cp1252": "cp1252", "utf-8>mac_roman": "mac_roman", "utf-8>cp125
 DOUBLE = {"utf-8>gb18030": "gb18030", "utf-8>cp932": "cp932", "utf-8>big5": "big5"}
 BY_GBK = {"gb18030>cp1252": "cp1252", "gb18030>mac_roman": "mac_roman"}
 CHAINS = ["", *SINGLE, "utf-8>cp1252>cp1252", *DOUBLE, *BY_GBK, "gb18030>big5", "lost"]
-#: Sources kept on the driver while the chains' shares are learned: more are refused.
-MOST_SOURCES = 100_000
 ROUNDS = 4
+#: Log-share that every chain has at first, and how many values' worth of its field's shares each source gets.
+START, SHRINK = math.log(0.001), 50.0
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 #: Two characters or more, or one of the commonest marks: general punctuation, CJK punctuation, full-width forms.
@@ -306,72 +306,73 @@ def _of_fields(log_p: np.ndarray, fields: tuple[str, ...]):
         for b in batches:
             out = []
             for f in fields:
-                for book, v in zip(b.column("book_id").to_pylist(), b.column(f).to_pylist(), strict=True):
+                for site, book, v in zip(*(b.column(c).to_pylist() for c in ("site", "book_id", f)), strict=True):
                     if v and not v.isascii() and (w := weighed(v, log_p)):
-                        out.append(("", f, book, -1, -1, v, *map(list, zip(*w, strict=True))))
+                        out.append((site, f, book, -1, -1, v, *map(list, zip(*w, strict=True))))
             yield _batch(out)
 
     return run
 
 
-def _posterior(prior: dict[tuple, list[float]]):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def of(source: pd.Series, field: pd.Series, chains: pd.Series, gains: pd.Series) -> pd.Series:
-        out = []
-        for s, f, c, g in zip(source, field, chains, gains, strict=True):
-            p = prior[s, f]
-            w = np.asarray([p[0], *[p[k] + x for k, x in zip(c, g, strict=True)]])
-            w = np.exp(w - w.max())
-            out.append((w / w.sum()).tolist())
-        return pd.Series(out)
-
-    return of
-
-
-def _learned(values: DataFrame, sizes: DataFrame) -> dict[tuple, list[float]]:
-    """Log-share of every chain in each source and field, by expectation-maximization over all values."""
-    n = {(r["source"], r["field"]): r["n"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
-    if len(n) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    start = math.log(0.001)
-    prior = {k: [0.0, *[start] * (len(CHAINS) - 1)] for k in n}
-    for _ in range(ROUNDS):
-        each = values.select("source", "field", F.explode(F.arrays_zip("chains", F.slice(_posterior(prior)("source", "field", "chains", "gains"), 2, len(CHAINS)).alias("p"))).alias("x"))
-        sums = each.groupBy("source", "field", F.col("x.chains").alias("chain")).agg(F.sum("x.p").alias("p"), F.count(F.lit(1)).alias("k")).collect()
-        mass = {k: [0.0] * len(CHAINS) for k in n}
-        field_mass: dict[str, list[float]] = {}
-        field_n: dict[str, float] = {}
-        for (_, f), size in n.items():
-            field_n[f] = field_n.get(f, 0) + size
-        for r in sums:
-            mass[r["source"], r["field"]][r["chain"]] += r["p"]
-            field_mass.setdefault(r["field"], [0.0] * len(CHAINS))[r["chain"]] += r["p"]
-        prior = {}
-        for (s, f), size in n.items():
-            # A source's shares shrink to those of the field: 50 values' worth.
-            whole = field_mass.get(f, [0.0] * len(CHAINS))
-            share = [(m + 50 * (w + 0.1) / (field_n[f] + 1)) / (size + 50) for m, w in zip(mass[s, f], whole, strict=True)]
-            share[0] = max(1e-6, 1 - sum(share[1:]))
-            prior[s, f] = [math.log(x) for x in share]
-    return prior
-
-
-def judged(books: DataFrame, sections: DataFrame, lines: bool = True) -> DataFrame:
+def _posterior(prior: Column, chains: Column, gains: Column) -> Column:
+    """Of each chain, the first for none: softmax of log-share and gain."""
+    w = F.concat(F.array(prior[0]), F.zip_with(chains, gains, lambda c, g: F.get(prior, c) + g))
+    e = F.transform(w, lambda x: F.exp(x - F.array_max(w)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def _of_source(c: str = "source") -> Column:
+    """A key of a source; NULL is one."""
+    return F.coalesce(F.concat(F.lit("s:"), c), F.lit(""))
+
+
+def _learned(values: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
+    """(key, field, prior): the log-share of every chain in each source and field, by expectation-maximization.
+
+    Only sums by field and chain come to the driver: as many as there are chains and fields.
+    """
+    sizes = cut(sizes.groupBy(_of_source().alias("key"), "field").agg(F.sum("n").cast("double").alias("n")))
+    field_n = {r["field"]: r["n"] for r in sizes.groupBy("field").agg(F.sum("n").alias("n")).collect()}
+    prior = sizes.withColumn("prior", F.lit([0.0, *[START] * (len(CHAINS) - 1)]))
+    for _ in range(rounds):
+        p = F.slice(_posterior(F.col("prior"), F.col("chains"), F.col("gains")), 2, len(CHAINS))
+        each = values.join(prior, ["key", "field"]).select("key", "field", F.explode(F.arrays_zip("chains", p.alias("p"))).alias("x"))
+        mass = cut(each.groupBy("key", "field", F.col("x.chains").alias("chain")).agg(F.sum("x.p").alias("p")))
+        whole = {f: [0.0] * len(CHAINS) for f in field_n}
+        for r in mass.groupBy("field", "chain").agg(F.sum("p").alias("p")).collect():
+            whole[r["field"]][r["chain"]] = r["p"]
+        # A source's shares shrink to those of its field.
+        of_field = F.lit(None).cast("array<double>")
+        for f, n in field_n.items():
+            of_field = F.when(F.col("field") == f, F.lit([SHRINK * (w + 0.1) / (n + 1) for w in whole[f]])).otherwise(of_field)
+        own = mass.groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("own"))
+        share = F.transform(of_field, lambda w, i: (w + F.coalesce(F.try_element_at("own", i), F.lit(0.0))) / (F.col("n") + SHRINK))
+        rest = F.aggregate(F.slice("share", 2, len(CHAINS)), F.lit(0.0), lambda a, x: a + x)
+        prior = sizes.join(own, ["key", "field"], "left").withColumn("share", share)
+        prior = prior.withColumn("prior", F.transform(F.concat(F.array(F.greatest(F.lit(1e-6), 1 - rest)), F.slice("share", 2, len(CHAINS))), lambda x: F.log(x))).drop("own", "share")
+    return prior.drop("n")
+
+
+def judged(books: DataFrame, sections: DataFrame, lines: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """Every affected value: its place, the most probable chain, its posterior and the text read back.
 
     lines=False judges the fields of books alone, with the same character frequencies and so with the same result.
     """
     fields = ("title", "description")
-    own_books, own_sections = books.select("book_id", *fields), sections.select("book_id", "section_idx", "site", "lines")
+    own_sections = sections.select("book_id", "section_idx", "site", "lines")
+    sites = sections.groupBy("book_id").agg(F.min("site").alias("site"))
+    own_books = books.select("book_id", *fields)
     log_p = frequencies(own_books.select(*fields), own_sections.select("lines"))
+    own_books = own_books.join(sites, "book_id", "left")
     values = own_books.mapInArrow(_of_fields(log_p, fields), _OUT)
     if lines:
         values = values.unionByName(own_sections.mapInArrow(_of_lines(log_p), _OUT))
-    values = cut(values)
-    sizes = own_sections.groupBy(F.col("site").alias("source")).agg(F.sum(F.greatest(F.size("lines"), F.lit(0))).alias("n")).withColumn("field", F.lit("lines"))
-    count = own_books.agg(*[F.count(f).alias(f) for f in fields]).select(F.stack(F.lit(2), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "n")).withColumn("source", F.lit(""))
-    prior = _learned(values, count.unionByName(sizes, allowMissingColumns=True) if lines else count)
-    p = values.withColumn("p", _posterior(prior)("source", "field", "chains", "gains"))
+    values = cut(values.withColumn("key", _of_source()))
+    sizes = own_books.groupBy(F.col("site").alias("source")).agg(*[F.count(f).alias(f) for f in fields]).select("source", F.stack(F.lit(2), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "n"))
+    if lines:
+        sizes = sizes.unionByName(own_sections.groupBy(F.col("site").alias("source")).agg(F.sum(F.greatest(F.size("lines"), F.lit(0)).cast("long")).alias("n")).withColumn("field", F.lit("lines")))
+    prior = _learned(values, sizes, rounds)
+    p = values.join(prior, ["key", "field"]).withColumn("p", _posterior(F.col("prior"), F.col("chains"), F.col("gains")))
     # Chain 0 leaves the value as it is; of the others the most probable repairs it.
     best = F.array_max(F.transform(F.slice("p", 2, len(CHAINS)), lambda x, i: F.struct(x.alias("p"), (-i).alias("at"))))
     p = p.withColumn("best", best).where(F.element_at("p", 1) < 0.5)
@@ -379,8 +380,8 @@ def judged(books: DataFrame, sections: DataFrame, lines: bool = True) -> DataFra
     return p.select("field", "book_id", "section_idx", "line_no", "source", "value", F.element_at(names, F.element_at("chains", 1 - F.col("best.at")) + 1).alias("chain"), (1 - F.element_at("p", 1)).alias("posterior"), F.element_at("texts", 1 - F.col("best.at")).alias("restored"))
 
 
-def found(books: DataFrame, sections: DataFrame) -> DataFrame:
-    return judged(books, sections).select("field", "book_id", "section_idx", "line_no").distinct()
+def found(books: DataFrame, sections: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    return judged(books, sections, rounds=rounds).select("field", "book_id", "section_idx", "line_no").distinct()
 
 
 def repaired(books: DataFrame, sections: DataFrame) -> DataFrame:

@@ -65,3 +65,30 @@ def test_weak_evidence_is_kept_for_its_source():
     log_p = np.full(0x110000, -10.0, np.float32)
     log_p[[ord("Ã"), ord("©")]] = -6.5
     assert ("utf-8>cp1252", 3.0, "café") in [(m.CHAINS[c], round(g, 3), x) for c, g, x in m.weighed("cafÃ©", log_p)]
+
+
+def test_expectation_maximization_decides(spark, books):
+    """Weak values are found where their own site is often garbled, and only there; without rounds nowhere."""
+    strong = CLEAN[2].encode().decode("latin-1")
+    weak = "The café rang."
+    bad = weak.encode().decode("latin-1")
+    filler = [("f", i, "other", [CLEAN[0], CLEAN[1], "Zürich Ã© rang " * 40]) for i in range(60)]
+    rows = filler + [("g", i, "garbled", [strong]) for i in range(100)] + [("g", 200, "garbled", [bad]), ("h", 0, "clean", [bad])] + [("h", i, "clean", [CLEAN[i % 4]] * 20) for i in range(1, 200)]
+    s = spark.createDataFrame(rows, "book_id string, section_idx int, site string, lines array<string>")
+    with_em = {tuple(r) for r in m.found(books(), s).where("book_id <> 'f'").collect()}
+    without = {tuple(r) for r in m.found(books(), s, rounds=0).where("book_id <> 'f'").collect()}
+    assert ("lines", "g", 200, 0) in with_em - without
+    assert ("lines", "h", 0, 0) not in with_em | without
+
+
+def test_many_sources(spark, books):
+    bad = CLEAN[0].encode().decode("latin-1")
+    s = spark.range(200_000).selectExpr("concat('b', id) as book_id", "0 as section_idx", "concat('s', id) as site").selectExpr("*", f"if(book_id = 'b7', array('{bad}'), array('x')) as lines")
+    assert [tuple(r) for r in m.found(books(), s).collect()] == [("lines", "b7", 0, 0)]
+
+
+def test_a_books_fields_have_its_site(spark, books):
+    bad = CLEAN[0].encode().decode("latin-1")
+    s = spark.createDataFrame([("t", 0, "s", ["x"]), ("t", 1, None, None)], "book_id string, section_idx int, site string, lines array<string>")
+    got = m.judged(books({"book_id": "t", "title": bad}, {"book_id": "u", "title": bad}), s).collect()
+    assert {(r.book_id, r.source) for r in got} == {("t", "s"), ("u", None)}
