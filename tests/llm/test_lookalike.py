@@ -35,3 +35,26 @@ def test_ideographic_space_alone(books, wishes, spark):
     none = spark.createDataFrame([], "field string, book_id string")
     assert {tuple(r) for r in k.found(b, w, none).collect()} == {("books", "a", "title"), ("books", "b", "author"), ("wishlist", "w", "title")}
     assert {r.record_id: r.consistent for r in k.normalized(b, w).where("field = 'title'").collect()} == {"a": "The Burning Lantern", "b": "盐园，《灯》", "w": "Salt Orchard "}
+
+
+#: Tokens whose letters are mostly of the wrong script, numerals and digits for letters, syllables for ideographs.
+HARD = [("Тhе Lаntern", "The Lantern"), ("Нarbоr", "Harbor"), ("ꓧarbor", "Harbor"), ("ⅼantern", "lantern"), ("Sa1t", "Salt"), ("港ロ", "港口"), ("力ーテン", "カーテン")]
+
+
+def test_the_lattice_decides():
+    """A mapping to the script of most letters gets hard tokens wrong that the likeliest path gets right."""
+    model = k.Model(k.pair_counts(iter(["The Unsent Lantern Harbor Salt", "Burning Garden", "港口 出口 入口", "カーテン タワー ラーメン", "Тихий маяк", "Соляная дорога"] * 20)))
+    want = [(v, w) for v, w in HARD if w]
+    assert [k.consistent(v, model) for v, _ in want] == [w for _, w in want]
+    assert sum(k.majority(v) != w for v, w in want) >= 4
+    flat = k.Model({})
+    assert sum(k.consistent(v, flat) != w for v, w in want) >= 1
+
+
+def test_plain_words_are_no_lattices():
+    for v in ["Тихий маяк", "сосо", "R2D2", "A1", "1st 10th", "東京タワー", "Ωmega", "八一", "Ⅱ"]:
+        assert k.consistent(v, MODEL) == v
+
+
+def test_long_tokens_take_linear_time():
+    assert k.consistent("Lаntern" * 20_000, MODEL) == "Lantern" * 20_000
