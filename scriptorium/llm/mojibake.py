@@ -175,8 +175,28 @@ def _by_big5(v: str, log_p: np.ndarray) -> str:
     return v[:lo] + text + v[hi:] if _IDEOGRAPH.search(text) else v
 
 
-def readings(v: str, log_p: np.ndarray) -> list[tuple[int, str]]:
-    """(number of a chain, the text read back) for the chains that change the value. 'lost': it cannot be read back."""
+def _steps(log_p: np.ndarray) -> np.ndarray:
+    """What each code point gains where it is read back as GBK read as Big5."""
+    read = _big5_as_gbk()
+    return np.where(read >= 0, log_p[np.maximum(read, 0)] - log_p, -6.0).astype(np.float32)
+
+
+def may_be_big5(texts: list[str], steps: np.ndarray) -> np.ndarray:
+    """Can any stretch of a text gain by being read back, the choice of the stretch paid for? All texts at once.
+
+    No stretch gains more than the sum of the text's gaining characters, so what is refused here has no such reading.
+    """
+    codes, at = code_points(texts)
+    n = np.diff(at)
+    total = np.concatenate(([0.0], np.cumsum(np.maximum(steps[codes], 0.0), dtype=float)))
+    return total[at[1:]] - total[at[:-1]] > np.log(np.maximum(n * (n + 1) / 2.0, 1.0)) - 1e-3
+
+
+def readings(v: str, log_p: np.ndarray, big5: bool = True) -> list[tuple[int, str]]:
+    """(number of a chain, the text read back) for the chains that change the value. 'lost': it cannot be read back.
+
+    big5: could the value be GBK read as Big5? Asked for all values of a batch before.
+    """
     out = []
     odd = _ODD.search(v)
     if odd:
@@ -195,8 +215,7 @@ def readings(v: str, log_p: np.ndarray) -> list[tuple[int, str]]:
             x = _by_double(v, encoding, log_p)
             if x != v:
                 out.append((CHAINS.index(name), x))
-    x = _by_big5(v, log_p)
-    if x != v:
+    if big5 and (x := _by_big5(v, log_p)) != v:
         out.append((CHAINS.index("gb18030>big5"), x))
     if _lost(v):
         out.append((CHAINS.index("lost"), v))
@@ -257,10 +276,10 @@ def _trimmed(v: str, x: str) -> tuple[str, str]:
     return v[n : len(v) - k], x[n : len(x) - k]
 
 
-def weighed(v: str, log_p: np.ndarray) -> list[tuple[int, float, str]]:
+def weighed(v: str, log_p: np.ndarray, big5: bool = True) -> list[tuple[int, float, str]]:
     """(chain, log-likelihood over that of the value as it is, text) of each chain that could be."""
     out = []
-    for chain, x in readings(v, log_p):
+    for chain, x in readings(v, log_p, big5):
         if CHAINS[chain] == "lost":
             out.append((chain, 20.0, x))  # no text holds a replacement character by itself
             continue
@@ -284,17 +303,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _of_lines(log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = _steps(log_p)
         for b in batches:
             row, place, text = row_lines(b)
             out, seen = [], {}
             book, section, site = (b.column(c).to_pylist() for c in ("book_id", "section_idx", "site"))
+            once = [v for v in dict.fromkeys(text) if v and not v.isascii()]
+            for i in range(0, len(once), 20_000):
+                part = once[i : i + 20_000]
+                seen |= {v: w for v, big5 in zip(part, may_be_big5(part, steps).tolist(), strict=True) if (w := weighed(v, log_p, big5))}
             for r, p, v in zip(row.tolist(), place.tolist(), text, strict=True):
-                if not v or v.isascii():
-                    continue
-                w = seen.get(v)
-                if w is None:
-                    w = seen[v] = weighed(v, log_p)
-                if w:
+                if w := seen.get(v):
                     out.append((site[r], "lines", book[r], section[r], p, v, *map(list, zip(*w, strict=True))))
             yield _batch(out)
 
