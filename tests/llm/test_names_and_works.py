@@ -52,3 +52,52 @@ def test_accepted_latin_forms_share_a_key(a, b):
 def test_two_characters_meet_the_full_name():
     assert names.zh_likelihood("青石", "青石散人") > names._NEVER
     assert "wo:青石:2" in names.zh_keys("青石") and "wp:青石:2" in names.zh_keys("青石散人")
+
+
+#: A wish between two works of one author; one title of two persons of one surname; one by initials of one of them.
+HARD_BOOKS = [("b1", "灯塔歌谣", "门衡海梁湾"), ("b2", "钟塔歌声", "门衡海梁湾"), ("b3", "The Salt Mirror", "Ada Zimevisun"), ("b4", "The Salt Mirror", "Olga Zimevisun"), ("b5", "The Iron Ledger", "Otto Vandermeer"), ("b6", "The Silent Ledger", "Otto Vandermeer")]
+HARD_WISHES = [("w1", "钟塔歌谣", "门衡海梁湾"), ("w3", "The Salt Mirror", "Ada Zimevisun"), ("w5", "The Iron Ledger", "Otto Vandermeer"), ("w6", "The Salt Mirror", None)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    from scriptorium.schemas import BOOKS as B
+    from scriptorium.schemas import WISHLIST as W
+
+    make = lambda schema, rows: spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    filler = [(f"f{i}", f"{c}山的{d}河", "门衡海梁湾") for i, (c, d) in enumerate(zip("风花雪月春夏秋冬", "甲乙丙丁戊己庚辛", strict=True))]
+    b = make(B, [{"book_id": i, "title": t, "author": a} for i, t, a in [*HARD_BOOKS, *filler]])
+    w = make(W, [{"id": i, "title": t, "author": a} for i, t, a in HARD_WISHES] + [{"id": f"v{i}{k}", "title": x, "author": a} for i, t, a in filler for k, x in enumerate((t, t[:-1] + "湖", t[:3] + t[4:]))])
+    run = lambda **k: {(r.wish_id, r.book_id) for r in entity.matched(b, w, **k).collect() if r.wish_id[0] == "w"}
+    return run
+
+
+def test_the_mixture_decides(hard):
+    got = hard()
+    assert {("w3", "b3"), ("w5", "b5")} <= got and not {("w3", "b4"), ("w5", "b6"), ("w6", "b3"), ("w6", "b4")} & got
+    assert len({p for p in got if p[0] == "w1"}) <= 1
+    # Titles alone would link both persons' works, and without transitivity the wish between two works is both.
+    assert {("w1", "b1"), ("w1", "b2")} <= hard(transitive=False)
+
+
+def test_expectation_maximization_moves_the_boundary(spark):
+    """Where mistyped titles are many and unlike ones far, a weaker title is still matched; at first it is not."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cells = np.concatenate([rng.normal((0.99, 0.98), 0.01, (200, 2)), rng.normal((0.5, 0.98), 0.04, (200, 2)), rng.normal((0.1, 0.98), 0.02, (400, 2))]).clip(0, 1)
+    rows = spark.createDataFrame([(float(x), float(y), 1.0, 1.0, None, None) for x, y in cells], "x1 double, x2 double, t1 double, t2 double, y1 double, y2 double")
+    m = entity.Mixture()
+    weak = np.array([[0.42, 0.98]])
+    before = m.posterior(weak)[0]
+    for _ in range(entity.ROUNDS):
+        m.refit(rows)
+    assert before < 0.5 < m.posterior(weak)[0]
+
+
+@pytest.mark.parametrize(("a", "b"), [("茅灯桃桥凝风花雪", "茅灯桃桥凝风雪花"), ("themirrorofsalt", "themirorofsalts"), ("x" * 300 + "ab" + "y" * 300, "x" * 300 + "ba" + "y" * 300), ("门衡海梁", "门衡海")])
+def test_near_titles_share_a_key(spark, a, b):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(a,), (b,)], "main string").select(F.explode(F.array_distinct(entity._half_holes("main"))).alias("k"))
+    assert d.groupBy("k").count().where("count > 1").count() > 0
