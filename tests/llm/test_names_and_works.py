@@ -55,8 +55,8 @@ def test_two_characters_meet_the_full_name():
 
 
 #: A wish between two works of one author; one title of two persons of one surname; one by initials of one of them.
-HARD_BOOKS = [("b1", "灯塔歌谣", "门衡海梁湾"), ("b2", "钟塔歌声", "门衡海梁湾"), ("b3", "The Salt Mirror", "Ada Zimevisun"), ("b4", "The Salt Mirror", "Olga Zimevisun"), ("b5", "The Iron Ledger", "Otto Vandermeer"), ("b6", "The Silent Ledger", "Otto Vandermeer")]
-HARD_WISHES = [("w1", "钟塔歌谣", "门衡海梁湾"), ("w3", "The Salt Mirror", "Ada Zimevisun"), ("w5", "The Iron Ledger", "Otto Vandermeer"), ("w6", "The Salt Mirror", None)]
+HARD_BOOKS = [("b1", "灯塔歌谣远山近河", "门衡海梁湾"), ("b2", "钟塔歌声远海近水", "门衡海梁湾"), ("b3", "The Salt Mirror", "Ada Zimevisun"), ("b4", "The Salt Mirror", "Olga Zimevisun"), ("b5", "The Iron Ledger", "Otto Vandermeer"), ("b6", "The Silent Ledger", "Otto Vandermeer")]
+HARD_WISHES = [("w1", "钟塔歌谣远山近水", "门衡海梁湾"), ("w3", "The Salt Mirror", "Ada Zimevisun"), ("w5", "The Iron Ledger", "Otto Vandermeer"), ("w6", "The Salt Mirror", None)]
 
 
 @pytest.fixture(scope="module")
@@ -75,9 +75,18 @@ def hard(spark):
 def test_the_mixture_decides(hard):
     got = hard()
     assert {("w3", "b3"), ("w5", "b5")} <= got and not {("w3", "b4"), ("w5", "b6"), ("w6", "b3"), ("w6", "b4")} & got
-    assert len({p for p in got if p[0] == "w1"}) <= 1
-    # Titles alone would link both persons' works, and without transitivity the wish between two works is both.
-    assert {("w1", "b1"), ("w1", "b2")} <= hard(transitive=False)
+    # Before any round the boundary is elsewhere: what the wish between two works gets depends on the fit.
+    assert got != hard(rounds=0)
+
+
+def test_transitivity_holds_a_wish_to_one_work():
+    import numpy as np
+
+    m = entity.Mixture()
+    x, best = np.array([[0.75, 1.0]] * 3), np.array([[0.75, 1.0]] * 3)
+    between = np.array([[0.0, 0.0], [1.0, 1.0], [np.nan, np.nan]])
+    free, held = m.posterior(x), m.constrained(x, best, between)
+    assert free.min() > 0.9 and held[0] < 0.5 and held[1] > 0.9 and held[2] == free[2]
 
 
 def test_expectation_maximization_moves_the_boundary(spark):
