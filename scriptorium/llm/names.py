@@ -44,13 +44,19 @@ _LATIN_TITLE = re.compile(r"^(?:(?:dr|mr|mrs|ms|prof|sir|by)\b\.? *)+", re.I)
 _LATIN_ORG = re.compile(r"\b(?:publ|hse|pr|coll|writers['’]?s?|press|collective|company|co|studio|studios|publishing|publishers|editions|books|house|group|society|guild|ltd|inc|workshop)\b|&", re.I)
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 #: Short forms of given names.
-NICKNAMES = {"bill": "william", "will": "william", "bob": "robert", "rob": "robert", "dick": "richard", "rick": "richard", "ted": "theodore edward", "ned": "edward", "ed": "edward", "jim": "james", "jack": "john jonathan", "jon": "jonathan", "johnny": "john", "dot": "dorothy", "dottie": "dorothy", "lucy": "lucinda lucille", "peg": "margaret", "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "kate": "katherine catherine", "kathy": "katherine catherine", "cathy": "catherine", "kit": "christopher katherine", "chris": "christopher", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "lizzie": "elizabeth", "vicky": "victoria", "tori": "victoria", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "win": "winifred", "winnie": "winifred", "fred": "frederick", "freddie": "frederick", "greg": "gregory", "geoff": "geoffrey", "jeff": "geoffrey jeffrey", "larry": "lawrence", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "charlie": "charles", "chuck": "charles", "hal": "henry", "harry": "henry harold", "hank": "henry", "nick": "nicholas", "nate": "nathaniel", "nat": "nathaniel", "dan": "daniel", "danny": "daniel", "ben": "benjamin", "benny": "benjamin", "becky": "rebecca", "becca": "rebecca", "barb": "barbara", "babs": "barbara", "steph": "stephanie", "steffi": "stephanie", "flo": "florence", "flossie": "florence", "fran": "francesca frances", "frankie": "francesca francis", "hattie": "harriet", "nell": "eleanor helen", "ellie": "eleanor", "nora": "eleanor", "jo": "josephine", "josie": "josephine", "pip": "philippa", "pippa": "philippa", "penny": "penelope", "nelly": "penelope eleanor", "ronnie": "veronica", "vera": "veronica", "gabe": "gabriel", "sandy": "alexander", "alex": "alexander", "al": "albert alexander", "andy": "andrew andre", "drew": "andrew", "vince": "vincent", "vin": "vincent", "jake": "jacob", "sam": "samuel samantha", "mike": "michael", "mick": "michael", "oli": "oliver", "ollie": "oliver", "sue": "susannah susan", "susie": "susannah susan", "tilly": "matilda", "mattie": "matilda", "ursa": "ursula", "matt": "matthew", "tony": "anthony", "joe": "joseph", "zack": "zachary", "abby": "abigail", "debbie": "deborah", "gunni": "gunter", "ren": "renee", "matyi": "matyas", "ulla": "ursula", "iggy": "ignatius", "len": "leonard", "lenny": "leonard", "nes": "ines", "tina": "celestine christina", "debs": "deborah", "steve": "steven stephen", "dave": "david", "phil": "philip", "ray": "raymond", "ron": "ronald", "don": "donald", "ken": "kenneth", "jerry": "gerald jeremy", "terry": "terence theresa", "cindy": "cynthia lucinda", "mandy": "amanda", "jenny": "jennifer", "katie": "katherine catherine", "molly": "mary", "polly": "mary", "nancy": "ann anne", "sally": "sarah", "toby": "tobias", "max": "maximilian", "gus": "augustus", "archie": "archibald", "bert": "albert herbert robert", "bella": "isabella", "izzy": "isabella isidore", "lottie": "charlotte", "millie": "mildred amelia", "trudy": "gertrude"}
+NICKNAMES = {"bill": "william", "will": "william", "bob": "robert", "rob": "robert", "dick": "richard", "rick": "richard", "ted": "theodore edward", "ned": "edward", "ed": "edward", "jim": "james", "jack": "john jonathan", "jon": "jonathan john", "steven": "stephen", "catherine": "katherine", "kathryn": "katherine catherine", "ann": "anne", "sara": "sarah", "elisabeth": "elizabeth", "jeffrey": "geoffrey", "eric": "erik", "marc": "mark", "johnny": "john", "dot": "dorothy", "dottie": "dorothy", "lucy": "lucinda lucille", "peg": "margaret", "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "kate": "katherine catherine", "kathy": "katherine catherine", "cathy": "catherine", "kit": "christopher katherine", "chris": "christopher", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "lizzie": "elizabeth", "vicky": "victoria", "tori": "victoria", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "win": "winifred", "winnie": "winifred", "fred": "frederick", "freddie": "frederick", "greg": "gregory", "geoff": "geoffrey", "jeff": "geoffrey jeffrey", "larry": "lawrence", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "charlie": "charles", "chuck": "charles", "hal": "henry", "harry": "henry harold", "hank": "henry", "nick": "nicholas", "nate": "nathaniel", "nat": "nathaniel", "dan": "daniel", "danny": "daniel", "ben": "benjamin", "benny": "benjamin", "becky": "rebecca", "becca": "rebecca", "barb": "barbara", "babs": "barbara", "steph": "stephanie", "steffi": "stephanie", "flo": "florence", "flossie": "florence", "fran": "francesca frances", "frankie": "francesca francis", "hattie": "harriet", "nell": "eleanor helen", "ellie": "eleanor", "nora": "eleanor", "jo": "josephine", "josie": "josephine", "pip": "philippa", "pippa": "philippa", "penny": "penelope", "nelly": "penelope eleanor", "ronnie": "veronica", "vera": "veronica", "gabe": "gabriel", "sandy": "alexander", "alex": "alexander", "al": "albert alexander", "andy": "andrew andre", "drew": "andrew", "vince": "vincent", "vin": "vincent", "jake": "jacob", "sam": "samuel samantha", "mike": "michael", "mick": "michael", "oli": "oliver", "ollie": "oliver", "sue": "susannah susan", "susie": "susannah susan", "tilly": "matilda", "mattie": "matilda", "ursa": "ursula", "matt": "matthew", "tony": "anthony", "joe": "joseph", "zack": "zachary", "abby": "abigail", "debbie": "deborah", "gunni": "gunter", "ren": "renee", "matyi": "matyas", "ulla": "ursula", "iggy": "ignatius", "len": "leonard", "lenny": "leonard", "nes": "ines", "tina": "celestine christina", "debs": "deborah", "steve": "steven stephen", "dave": "david", "phil": "philip", "ray": "raymond", "ron": "ronald", "don": "donald", "ken": "kenneth", "jerry": "gerald jeremy", "terry": "terence theresa", "cindy": "cynthia lucinda", "mandy": "amanda", "jenny": "jennifer", "katie": "katherine catherine", "molly": "mary", "polly": "mary", "nancy": "ann anne", "sally": "sarah", "toby": "tobias", "max": "maximilian", "gus": "augustus", "archie": "archibald", "bert": "albert herbert robert", "bella": "isabella", "izzy": "isabella isidore", "lottie": "charlotte", "millie": "mildred amelia", "trudy": "gertrude"}
+#: Parts of family names that are no initials, though as short.
+PARTICLES = frozenset({"le", "la", "de", "du", "di", "da", "el", "al", "st", "af", "zu"})
 _PINYIN = re.compile(r"(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|ei|ui|ao|ou|iu|ie|ue|ve|er|an|en|in|un|ia|ua|uo|a|o|e|i|u|v)")
 #: Where each initial of the Latin transcription begins among the characters that the national character
 #: set orders by sound, as that set's codes.
 _INITIALS = [("a", 0xB0A1), ("b", 0xB0C5), ("c", 0xB2C1), ("d", 0xB4EE), ("e", 0xB6EA), ("f", 0xB7A2), ("g", 0xB8C1), ("h", 0xB9FE), ("j", 0xBBF7), ("k", 0xBFA6), ("l", 0xC0AC), ("m", 0xC2E8), ("n", 0xC4C3), ("o", 0xC5B6), ("p", 0xC5BE), ("q", 0xC6DA), ("r", 0xC8BB), ("s", 0xC8F6), ("t", 0xCBFA), ("w", 0xCDDA), ("x", 0xCEF4), ("y", 0xD1B9), ("z", 0xD4D1), ("", 0xD7FA)]
 
 
+#: How many places apart characters of one syllable may stand in the order of sounds.
+SAME_SOUND = 12
+
+
 @lru_cache(maxsize=65536)
 def sound(c: str) -> str:
     """The initial of a character's transcription, or '' where the character set does not order it by sound."""
@@ -66,6 +72,21 @@ def sound(c: str) -> str:
     return ""
 
 
+def place(c: str) -> int:
+    """A character's number in the part of the national set that is ordered by sound; -1 outside it."""
+    try:
+        hi, lo = c.encode("gb2312")
+    except (UnicodeEncodeError, ValueError):
+        return -1
+    return (hi - 0xB0) * 94 + lo - 0xA1 if 0xB0 <= hi < 0xD8 else -1
+
+
+def sounds_like(a: str, b: str) -> bool:
+    """Characters of one initial that stand close together in the order of sounds: typed by the same keys."""
+    x, y = place(a), place(b)
+    return x >= 0 and y >= 0 and abs(x - y) <= SAME_SOUND and sound(a) == sound(b)
+
+
 @lru_cache(maxsize=65536)
 def simplified(c: str) -> bool:
     try:
@@ -152,20 +173,40 @@ def rotation(s: str) -> str:
 
 def zh_keys(core: str) -> list[str]:
     keys = [f"z:{rotation(core)}"]
-    if len(core) >= 4:
-        keys += [f"d:{rotation(core[:i] + core[i + 1 :])}" for i in range(len(core))]
+    n = len(core)
+    odd = [i for i, x in enumerate(core) if not simplified(x)]
+    if n >= 4:
+        if n <= 13:
+            keys += [f"d:{rotation(core[:i] + core[i + 1 :])}" for i in range(n)]
+        if n >= 12:
+            keys += _part_keys("d", core, 2, (n - 1, n, n + 1))
         keys += [f"d:{rotation(core)}"]
         keys += sorted({f"p:{(core[i:] + core[:i])[:3]}" for i in (0, 2, 3)})
         keys += [f"wp:{core[:2]}:2"]  # met by short forms only, as plain keys by those of another writing
-        if len(core) in (5, 6):  # two characters of another writing
-            odd = [i for i, x in enumerate(core) if not simplified(x)]
-            two = itertools.combinations(range(len(core)), 2) if not odd else [tuple(odd)] if len(odd) == 2 else []
-            keys += [f"w{'o' if odd else 'p'}:{rotation(''.join(x for k, x in enumerate(core) if k not in (i, j)))}:{len(core)}" for i, j in two]
+        if n >= 5:  # two characters of another writing
+            two = itertools.combinations(range(n), 2) if not odd else [tuple(odd)] if len(odd) == 2 else []
+            if n <= 8:
+                keys += [f"w{'o' if odd else 'p'}:{rotation(''.join(x for k, x in enumerate(core) if k not in (i, j)))}:{n}" for i, j in two]
+            elif len(odd) in (0, 2):  # two of them leave one third whole
+                keys += [f"w{'o' if odd else 'p'}:{k}:{n}" for k in _part_keys("t", core, 3, (n,))]
     else:
-        keys += [f"p:{core}"] + ([f"wo:{core}:2"] if len(core) == 2 else [])
+        keys += [f"p:{core}"] + ([f"wo:{core}:2"] if n == 2 else [])
+        if n >= 2:  # one character of the same sound, the others and their places as they are
+            keys += [f"s:{core[:i]}_{core[i + 1 :]}:{x}" for i in range(n) if (x := sound(core[i]))]
     return keys
 
 
+def _part_keys(tag: str, core: str, parts: int, sizes: tuple[int, ...]) -> list[str]:
+    """The parts of a long name by which names of these lengths share one: an error fewer than parts leaves one whole."""
+    out = set()
+    for n in sizes:
+        cuts = [round(n * k / parts) for k in range(parts + 1)]
+        for k in range(parts):
+            lo, hi = cuts[k], cuts[k + 1]
+            out.add(f"{tag}{k}:{core[lo:hi] if k + 1 < parts else core[len(core) - (hi - lo) :]}:{n}")
+    return sorted(out)
+
+
 def la_keys(core: str) -> list[str]:
     tokens = core.split()
     joined = "".join(tokens)
@@ -218,6 +259,10 @@ def zh_likelihood(form: str, name: str) -> float:
     if rotation(form) == rotation(name):
         return -0.7
     n = len(name)
+    if len(form) == n and 2 <= n <= 3:
+        # Real names are as short: one character may be another of the same sound. Of another writing, it is learned.
+        differ = [(x, y) for x, y in zip(form, name, strict=True) if x != y]
+        return (-5.0 if n == 3 else -6.5) if len(differ) == 1 and sounds_like(*differ[0]) else _NEVER
     if len(form) <= 3:
         if n < 4 or len(form) < 2:
             return _NEVER
@@ -272,20 +317,22 @@ def la_likelihood(form: str, name: str) -> float:
     if sorted(a) == sorted(b):
         return -0.5
     long_a, long_b = ([t for t in x if len(t) > 2] for x in (a, b))
-    small_a, small_b = ([t[0] for t in x if len(t) <= 2] for x in (a, b))
+    small_a, small_b = ([t[0] for t in x if len(t) <= 2 and t not in PARTICLES] for x in (a, b))
     if not long_a or not long_b:
         return _NEVER
     if len(long_a) >= 2 and len(long_b) >= 2:
-        if len(long_a) != len(long_b):
+        if len(long_a) != len(long_b):  # middle names in full on one side only, and all else equal
+            less, more = sorted((long_a, long_b), key=len)
+            return -3.0 if (less[0], less[-1]) == (more[0], more[-1]) and not _minus(less, more) and _within(small_a, small_b) else _NEVER
+        # All parts but one must be equal, in whatever order: what is left of each side is compared.
+        left_a, left_b = _minus(long_a, long_b), _minus(long_b, long_a)
+        if len(left_a) > 1 or not _within(small_a, small_b):
             return _NEVER
-        best = _NEVER
-        for spun in itertools.permutations(long_b) if len(long_b) <= 4 else [tuple(long_b)]:
-            each = [_token_like(x, y, False) for x, y in zip(long_a, spun, strict=True)]
-            if min(each) > _NEVER and sum(e < 0 for e in each) <= 1:
-                best = max(best, sum(each) - (0.5 if list(spun) != long_b else 0.0))
-        if best <= _NEVER or (small_a and small_b and small_a != small_b):
+        best = _token_like(left_a[0], left_b[0], False) if left_a else 0.0
+        if best <= _NEVER:
             return _NEVER
-        return best - 0.7 * (small_a != small_b)
+        kept = [left_a[0] if left_a and t == left_b[0] else t for t in long_b]
+        return best - (0.5 if kept != long_a else 0.0) - 0.7 * (small_a != small_b)
     if len(long_a) == 1 and len(long_b) == 1:
         if not small_a or not small_b or small_a[0] != small_b[0] or (len(small_a) > 1 and len(small_b) > 1 and small_a[1:] != small_b[1:]):
             return _NEVER
@@ -302,22 +349,68 @@ def la_likelihood(form: str, name: str) -> float:
     return best
 
 
-def syllables(text: str, n: int) -> list[list[str]]:
-    """The ways to cut Latin text into n syllables of the transcription."""
-    found: list[list[str]] = []
-
-    def go(at: int, left: int, done: list[str]) -> None:
-        if at == len(text) or not left:
-            if at == len(text) and not left:
-                found.append(done)
-            return
-        for size in range(1, 7):
-            if at + size <= len(text) and _PINYIN.fullmatch(text, at, at + size):
-                go(at + size, left - 1, [*done, text[at : at + size]])
-
-    if len(found) < 50 and n <= 8 and len(text) <= 6 * n:
-        go(0, n, [])
-    return found
+def _within(a: list[str], b: list[str]) -> bool:
+    """Are the initials of one in the other, in order? No initials are in any."""
+    a, b = sorted((a, b), key=len)
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def _minus(a: list[str], b: list[str]) -> list[str]:
+    """What of a is not in b, counted."""
+    rest = list(b)
+    out = []
+    for t in a:
+        if t in rest:
+            rest.remove(t)
+        else:
+            out.append(t)
+    return out
+
+
+def _steps(text: str) -> list[list[int]]:
+    """For each place of a Latin text, where a syllable of the transcription that begins there may end."""
+    return [[at + size for size in range(1, 7) if at + size <= len(text) and _PINYIN.fullmatch(text, at, at + size)] for at in range(len(text))]
+
+
+def initials(text: str, n: int, whole: bool = True) -> set[str]:
+    """The first letters of n syllables, for all ways to cut the whole text, or its beginning, into them."""
+    steps = _steps(text)
+    now = {(0, "")}
+    for _ in range(n):
+        now = {(end, got + text[at]) for at, got in now if at < len(text) for end in steps[at]}
+    return {got for at, got in now if not whole or at == len(text)}
+
+
+def counts(text: str) -> list[int]:
+    """Into how many syllables the text can be cut."""
+    ways = [0] * (len(text) + 1)  # bit k: into k syllables
+    ways[0] = 1
+    for at, ends in enumerate(_steps(text)):
+        if ways[at]:
+            for end in ends:
+                ways[end] |= ways[at] << 1
+    return [k for k in range(1, len(text) + 1) if ways[-1] >> k & 1]
+
+
+#: Names of up to so many characters have all initials in their transcription key, longer ones the first of them.
+_WHOLE = 6
+
+
+def align(han: str, roman: str, cost) -> tuple[float, list[str]]:
+    """The cheapest way to cut Latin text into one syllable a character, and these; cost(character, syllable) or None."""
+    steps = _steps(roman)
+    best: dict[int, tuple[float, list[str]]] = {0: (0.0, [])}
+    for x in han:
+        now: dict[int, tuple[float, list[str]]] = {}
+        for at, (c, path) in best.items():
+            for end in steps[at] if at < len(roman) else ():
+                if (k := cost(x, roman[at:end])) is not None and (end not in now or c + k < now[end][0]):
+                    now[end] = (c + k, [*path, roman[at:end]])
+        best = now
+        if not best:
+            break
+    return best.get(len(roman), (-_NEVER, []))
 
 
 _PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("core", T.StringType())])
@@ -363,15 +456,21 @@ def _is_simple(c: pd.Series) -> pd.Series:
     return c.map(simplified)
 
 
+#: Characters on either side of an odd one that must agree.
+AROUND = 8
+
+
 def _learn_characters(forms: DataFrame) -> dict[str, str]:
     """Characters outside the simplified set and what they stand for: the set bounds the table.
 
     Names and titles that differ in one character share what is left without it. Holes are only cut where an odd
     character stands and into texts that could fill them: texts without odd ones.
     """
-    rows = forms.where(F.length("core").between(4, 12)).where(F.col("core").rlike(r"^[\x{3400}-\x{9fff}]+$")).select("core").distinct()
+    rows = forms.where(F.length("core") >= 3).where(F.col("core").rlike(r"^[\x{3400}-\x{9fff}]+$")).select("core").distinct()
     odd_at = rows.withColumn("simple", _all_simple("core"))
-    hole = lambda i: F.struct(F.concat(F.expr("substring(core, 1, i - 1)"), F.lit("*"), F.expr("substring(core, i + 1)")).alias("hole"), F.expr("substring(core, i, 1)").alias("c"))  # noqa: E731, ARG005
+    # The hole's neighbours up to AROUND characters away stand for the text: a long text costs no more a character.
+    around = lambda: F.concat(F.expr(f"substring(core, greatest(1, i - {AROUND}), i - greatest(1, i - {AROUND}))"), F.lit("*"), F.expr(f"substring(core, i + 1, {AROUND})"), F.when(F.expr(f"i > {AROUND} + 1"), "<").otherwise(""), F.when(F.expr(f"i + {AROUND} < length(core)"), ">").otherwise(""))
+    hole = lambda i: F.struct(around().alias("hole"), F.expr("substring(core, i, 1)").alias("c"))  # noqa: E731, ARG005
     cut_at = odd_at.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("core")))).select("simple", hole("i").alias("h")).select("simple", "h.*")
     odd = cut_at.where("not simple").where(~_is_simple("c")).select("hole", F.col("c").alias("odd"))
     plain = cut_at.where("simple").select("hole", "c")
@@ -387,18 +486,21 @@ def _all_simple(core: pd.Series) -> pd.Series:
 
 def _learn_sounds(forms: DataFrame, beside: DataFrame) -> dict[str, str]:
     """Each character's syllable, from transcribed forms and forms in characters beside the same title."""
-    roman = beside.where("kind = 'la'").select("title_key", F.regexp_replace("core", " ", "").alias("roman")).where(F.length("roman").between(6, 40)).distinct()
-    han = beside.where("kind = 'zh'").select("title_key", "core").where(F.length("core").between(4, 6)).distinct()
+    roman = beside.where("kind = 'la'").select("title_key", F.regexp_replace("core", " ", "").alias("roman")).distinct()
+    han = beside.where("kind = 'zh'").select("title_key", "core").where(F.length("core") >= 2).distinct()
+
+    def fits(x: str, y: str) -> float | None:
+        return None if sound(x) not in ("", y[0]) else 0.0
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def aligned(roman: pd.Series, core: pd.Series) -> pd.Series:
         out = []
         for r, c in zip(roman, core, strict=True):
             got: set[str] = set()
-            for spun in {c[i:] + c[:i] for i in range(len(c))}:
-                for s in syllables(r, len(c)):
-                    if all(sound(x) in ("", y[0]) for x, y in zip(spun, s, strict=True)) and sum(sound(x) != "" for x in spun) >= 2:
-                        got |= {f"{x} {y}" for x, y in zip(spun, s, strict=True)}
+            if len(c) <= len(r) <= 6 * len(c) and sum(sound(x) != "" for x in c) >= 2 and len(c) in counts(r):
+                for spun in {c[i:] + c[:i] for i in range(len(c))}:
+                    _, path = align(spun, r, fits)
+                    got |= {f"{x} {y}" for x, y in zip(spun, path, strict=False)}
             out.append(sorted(got))
         return pd.Series(out)
 
@@ -428,26 +530,31 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
             kind, core = f[:2], f[3:]
             if kind == "zh":
                 k = zh_keys(core)
-                if 4 <= len(core) <= 6 and all(initial(x) for x in core):
-                    k += sorted({"i:" + "".join(initial(x) for x in core[i:] + core[:i]) for i in range(len(core))})
+                spun = {core[i:] + core[:i] for i in range(len(core))}
+                if len(core) >= 4 and all(initial(x) for x in core):
+                    k += [f"i{'+' if len(core) > _WHOLE else ''}:{''.join(initial(x) for x in y[:_WHOLE])}" for y in spun]
+                if len(core) >= 2 and all(x in sounds for x in core):
+                    k += ["y:" + "".join(sounds[x] for x in y) for y in spun]
             else:
                 k = la_keys(core)
                 joined = core.replace(" ", "")
-                if 8 <= len(joined) <= 36:
-                    k += sorted({"i:" + "".join(y[0] for y in s) for n in (4, 5, 6) for s in syllables(joined, n)})
+                if n := counts(joined):
+                    k += [f"y:{joined}"] + [f"i:{y}" for m in n if 4 <= m <= _WHOLE for y in initials(joined, m)]
+                    if n[-1] > _WHOLE:
+                        k += [f"i+:{y}" for y in initials(joined[: 6 * _WHOLE], _WHOLE, False)]
             out.append(sorted(set(k)))
         return pd.Series(out)
 
     def transcribed(han: str, roman: str) -> float:
         """How well the Latin text transcribes the characters, in any rotation; unknown syllables count by initials."""
+        if len(han) not in counts(roman):
+            return _NEVER
+        cost = lambda x, y: (0.0 if sounds[x] == y else None) if x in sounds else 1.0 if initial(x) == y[0] else None
         best = _NEVER
         for i in range(len(han)):
-            spun = han[i:] + han[:i]
-            for s in syllables(roman, len(han)):
-                known = [sounds[x] == y for x, y in zip(spun, s, strict=True) if x in sounds]
-                guessed = [initial(x) == y[0] for x, y in zip(spun, s, strict=True) if x not in sounds]
-                if all(known) and all(guessed):
-                    best = max(best, -2.0 - 1.0 * len(guessed) - (0.7 if i else 0.0))
+            price, _ = align(han[i:] + han[:i], roman, cost)
+            if price < -_NEVER:
+                best = max(best, -2.0 - price - (0.7 if i else 0.0))
         return best
 
     @F.pandas_udf(T.DoubleType())
@@ -486,9 +593,9 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
 
 
 def _rooted(forms: DataFrame, links: DataFrame, scored: DataFrame, margin: float, floor: float) -> DataFrame:
-    """Follows each form's link to a form without one; the number of rounds is the logarithm of the longest way."""
+    """Follows each form's link to a form without one, twice as far each round: links go one way, so it ends."""
     now = cut(forms.select("form").join(links.where(F.col("ll") > floor), "form", "left").select("form", F.coalesce("canonical", "form").alias("canonical"), F.coalesce("posterior", F.lit(1.0)).alias("posterior")))
-    for _ in range(12):
+    while True:
         up = now.select(F.col("form").alias("canonical"), F.col("canonical").alias("next"))
         nxt = cut(now.join(up, "canonical").select("form", F.col("next").alias("canonical"), "posterior", (F.col("next") != F.col("canonical")).alias("moved")))
         moved = nxt.where("moved").limit(1).count()

@@ -97,7 +97,7 @@ def test_expectation_maximization_moves_the_boundary(spark):
     cells = np.concatenate([rng.normal((0.99, 0.98), 0.01, (200, 2)), rng.normal((0.5, 0.98), 0.04, (200, 2)), rng.normal((0.1, 0.98), 0.02, (400, 2))]).clip(0, 1)
     rows = spark.createDataFrame([(float(x), float(y), 1.0, 1.0, None, None) for x, y in cells], "x1 double, x2 double, t1 double, t2 double, y1 double, y2 double")
     m = entity.Mixture()
-    weak = np.array([[0.42, 0.98]])
+    weak = np.array([[0.33, 0.98]])
     before = m.posterior(weak)[0]
     for _ in range(entity.ROUNDS):
         m.refit(rows)
@@ -110,3 +110,27 @@ def test_near_titles_share_a_key(spark, a, b):
 
     d = spark.createDataFrame([(a,), (b,)], "main string").select(F.explode(F.array_distinct(entity._half_holes("main"))).alias("k"))
     assert d.groupBy("k").count().where("count > 1").count() > 0
+
+
+@pytest.mark.parametrize(("a", "b", "near"), [("王小明", "王晓明", True), ("张三丰", "张三峰", True), ("鲁迅", "鲁讯", True), ("王小明", "王大明", False), ("李小明", "王小明", False), ("王芳", "王丽", False), ("茅灯桃桥凝风花雪月山川河海", "茅灯桃桥凝风花雪月山川河", True)])
+def test_short_and_long_names_in_characters(a, b, near):
+    assert (names.zh_likelihood(a, b) > names._NEVER) == near
+    assert not near or set(names.zh_keys(a)) & set(names.zh_keys(b))
+
+
+@pytest.mark.parametrize(("a", "b"), [("jon smith", "john smith"), ("steven king", "stephen king"), ("ursula k le guin", "ursula le guin"), ("gabriel marquez", "gabriel garcia marquez"), ("ana bea carla dora eve fay", "fay ana bea carla dora eve")])
+def test_latin_variants(a, b):
+    assert names.la_likelihood(a, b) > -10 and set(names.la_keys(a)) & set(names.la_keys(b))
+
+
+def test_syllables():
+    assert names.counts("xian") == [1, 2] and names.counts("smith") == []
+    assert names.initials("xian", 2) == {"xa"} and names.initials("xianfeng", 2, whole=True) == {"xf"}
+    fits = lambda x, y: 0.0 if {"西": "xi", "安": "an"}.get(x) == y else None
+    assert names.align("西安", "xian", fits) == (0.0, ["xi", "an"]) and names.align("安西", "xian", fits)[0] > 50
+    assert names.counts("ma" * 2000) == [2000] and names.counts("a" * 3000) == [3000]
+
+
+def test_short_names_are_linked(books, wishes):
+    b = books(*[{"book_id": str(i), "title": f"t{i}", "author": a} for i, a in enumerate(["王小明"] * 5 + ["王晓明", "王大明"])])
+    assert {tuple(r) for r in names.pairs(b, wishes()).collect()} == {("王小明", "王晓明")}
