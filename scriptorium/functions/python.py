@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 import pandas as pd
@@ -32,11 +31,7 @@ def decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode(c) for c in content], columns=["encoding", "text"])
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(t) if t is not None else None)
-
-
+#: The messages.
 def css_problem(raw: str | None) -> str | None:
     """What is wrong with a style sheet, or None: its length, NUL, open comments and strings, braces."""
     if not raw or not raw.strip():

@@ -114,6 +114,12 @@ def _first_by(index: DataFrame, *keys: str) -> DataFrame:
     return latest.groupBy(*keys).agg(F.max_by("book_id", "at").alias("book_id"))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], can: Column) -> DataFrame:
+    """A left join for the rows that can have a partner only: the others, often most, do not meet in one task."""
+    rest = rows.where(~F.coalesce(can, F.lit(False)))
+    return rows.where(can).join(table, keys, "left").unionByName(rest, allowMissingColumns=True)
+
+
 def library_match(wishes: DataFrame, books: DataFrame) -> DataFrame:
     """(id, match_id): the book a tracker row stands for: its link, else title and author, else title where it names no author."""
     index = identity_index(books)
@@ -121,8 +127,9 @@ def library_match(wishes: DataFrame, books: DataFrame) -> DataFrame:
     by_title = _first_by(titled, "title_key").withColumnRenamed("book_id", "t_id")
     by_both = _first_by(titled.where("author_key <> ''"), "title_key", "author_key").withColumnRenamed("book_id", "ta_id")
     w = wishes.select("id", X.book_link("library_book_id").alias("link"), X.id_key("title").alias("title_key"), X.id_key("author").alias("author_key"))
-    met = w.join(index.select(F.col("book_id").alias("link"), F.col("book_id").alias("d_id")), "link", "left")
-    met = met.join(by_title, "title_key", "left").join(by_both, ["title_key", "author_key"], "left")
+    met = _looked_up(w, index.select(F.col("book_id").alias("link"), F.col("book_id").alias("d_id")), ["link"], F.col("link").isNotNull())
+    met = _looked_up(met, by_title, ["title_key"], F.col("title_key") != "")
+    met = _looked_up(met, by_both, ["title_key", "author_key"], (F.col("title_key") != "") & (F.col("author_key") != ""))
     by_key = F.when(F.col("t_id").isNull(), None).when(F.col("author_key") == "", F.col("t_id")).otherwise(F.col("ta_id"))
     return met.select("id", F.coalesce("d_id", by_key).alias("match_id"))
 
@@ -309,20 +316,34 @@ def with_templates(books: DataFrame, templates: DataFrame, column: str, fallback
 
 
 def archive_names(books: DataFrame) -> DataFrame:
-    """A file name of its own for each book: 'title-author.epub', then 'title-author-2.epub' and so on in id order.
+    """A file name of its own for each book in id order: 'title-author.epub', else with the next free number from 2.
 
-    Numbers pass over names that another book has by itself; each base's rows number themselves, so one more pass
-    settles the names that met.
+    Where all books of a family of names (those alike but for a number at the end) have one base, numbers are ranks.
+    Only families with several bases, whose numbered names could meet, are walked through.
     """
     base = F.concat_ws("-", X.safe_filename("title", "book"), X.safe_filename("author", "unknown"))
-    w = Window.partitionBy("base").orderBy("book_id")
-    rows = books.select("book_id", base.alias("base")).withColumn("n", F.row_number().over(w))
-    taken = rows.where("n = 1").select(F.col("base").alias("name"), F.lit(True).alias("literal"))
-    plain = rows.withColumn("name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))))
-    met = plain.join(taken, "name", "left")
-    clash = (F.col("n") > 1) & F.col("literal").isNotNull()
-    name = F.when(clash, F.concat_ws("-", "name", F.substring("book_id", 1, 8))).otherwise(F.col("name"))
-    return met.select("book_id", F.concat(name, F.lit(".epub")).alias("file_name"))
+    rows = books.select("book_id", base.alias("base")).withColumn("family", F.regexp_replace("base", r"(-[0-9]+)+$", ""))
+    several = rows.groupBy("family").agg((F.min("base") != F.max("base")).alias("several"))
+    met = rows.join(several, "family")
+    n = F.row_number().over(Window.partitionBy("base").orderBy("book_id"))
+    plain = met.where("not several").select("book_id", F.concat("base", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".epub")).alias("file_name"))
+
+    def walk(family: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        last: dict[str, int] = {}
+        out = []
+        for base in family.sort_values("book_id")["base"]:
+            name, k = base, last.get(base, 1)
+            while name in used:
+                k += 1
+                name = f"{base}-{k}"
+            last[base] = k
+            used.add(name)
+            out.append(f"{name}.epub")
+        return pd.DataFrame({"book_id": family.sort_values("book_id")["book_id"].to_numpy(), "file_name": out})
+
+    walked = met.where("several").select("family", "book_id", "base").groupBy("family").applyInPandas(walk, "book_id string, file_name string")
+    return plain.unionByName(walked)
 
 
 def merged(primary: DataFrame, overlay: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:

@@ -26,12 +26,14 @@ def hits(texts: DataFrame, query: str, limit: int = 10, offset: int = 0) -> Data
     q = " ".join(query.split())
     size = len(q)
     at = F.locate(q.lower(), F.lower("text")) - 1
-    found = texts.withColumn("at", at).where((F.col("at") >= 0) & F.lit(bool(q)))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("section_idx"))
     begin = F.greatest(F.lit(0), F.col("at") - 30)
-    end = F.least(F.length("text"), F.col("at") + size + 70)
-    snippet = F.concat(F.when(begin > 0, "...").otherwise(""), F.substring("text", begin + 1, end - begin), F.when(end < F.length("text"), "...").otherwise(""))
-    return found.withColumn("n", n).where((F.col("n") > offset) & (F.col("n") <= offset + limit)).select("book_id", "section_idx", "title", F.col("at").alias("offset"), snippet.alias("snippet"))
+    end = F.least(F.col("size"), F.col("at") + size + 70)
+    snippet = F.concat(F.when(begin > 0, "...").otherwise(""), F.substring("text", begin + 1, end - begin), F.when(end < F.col("size"), "...").otherwise(""))
+    # The snippet is cut before the shuffle: whole texts do not travel.
+    found = texts.withColumns({"at": at, "size": F.length("text")}).where((F.col("at") >= 0) & F.lit(bool(q)))
+    found = found.select("book_id", "section_idx", "title", F.col("at").alias("offset"), snippet.alias("snippet"))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("section_idx"))
+    return found.withColumn("n", n).where((F.col("n") > offset) & (F.col("n") <= offset + limit)).drop("n")
 
 
 def summary(texts: DataFrame, query: str, limit: int = 10, offset: int = 0) -> DataFrame:

