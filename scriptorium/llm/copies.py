@@ -5,6 +5,9 @@ Method: each batch of rows goes as code points through a skip-and-fold table int
 on the unordered pair of hashes are compared with the group's first row by two skipping pointers. Rows that share
 hashes with other letters (a collision) go on under a hash of their own kept letters, so no result hangs on luck.
 
+Survivors are chosen by window ordering: of each group and field the usable value of the latest row, ties going to the
+more complete row and then the smaller id. Slices of a group rank their own rows before their best meet.
+
 Defined cases: NULL counts as empty; rows with neither letters nor digits form one group; a repeated id counts as one
 row; extra columns are not read; an empty table gives no rows. Very long texts are hashed whole.
 """
@@ -107,43 +110,55 @@ def usable_isbn(c: str) -> F.Column:
 USABLE = {"isbn": usable_isbn, "publisher": usable_text, "cover_file": usable_cover}
 
 
-def _choices(df: DataFrame) -> DataFrame:
-    """For each group and field the surviving row. Instants tie: the more complete row, then the smaller id.
+#: Slices into which a group's rows fall before its best meet.
+SLICES = 64
 
-    Ranking is an aggregate of a maximum, not a sort of the group: a hot group combines before the shuffle.
-    """
+
+def _best(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key by window ordering. Slices of a key rank their own rows first, so that no task sorts a
+    whole hot group: at most SLICES rows a key meet."""
+    first = lambda d, *more: d.withColumn("r", F.row_number().over(Window.partitionBy(*keys, *more).orderBy(*order))).where("r = 1").drop("r")
+    return first(first(rows.withColumn("slice", F.pmod(F.xxhash64("book_id"), F.lit(SLICES))), "slice")).drop("slice")
+
+
+def _members(df: DataFrame) -> DataFrame:
+    """The rows of groups with their instant, which fields are usable, and how many are."""
     g = groups(df).withColumnsRenamed({"id": "book_id"})
-    flags = {f: F.coalesce(check(f), F.lit(False)) for f, check in USABLE.items()}
-    rows = df.select("book_id", "updated_at", *USABLE, *[v.alias(f"ok_{f}") for f, v in flags.items()]).dropDuplicates(["book_id"])
-    rows = rows.withColumn("at", F.coalesce(F.unix_micros(instant(F.col("updated_at"))), F.lit(-(2**62)))).withColumn("full", sum((F.col(f"ok_{f}").cast("int") for f in USABLE), F.lit(0)))
-    met = rows.join(g, "book_id")
+    flags = {f"ok_{f}": F.coalesce(check(f), F.lit(False)) for f, check in USABLE.items()}
+    rows = df.select("book_id", "updated_at", *USABLE, *[v.alias(k) for k, v in flags.items()]).dropDuplicates(["book_id"])
+    full = sum((F.col(k).cast("int") for k in flags), F.lit(0))
+    return rows.withColumns({"at": F.coalesce(F.unix_micros(instant(F.col("updated_at"))), F.lit(-(2**62))), "full": full}).join(g, "book_id")
+
+
+def _choices(members: DataFrame) -> DataFrame:
+    """For each group and field the surviving row: the latest, then the more complete, then the smaller id."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"ok_{f}").alias("ok")) for f in USABLE])).alias("x")
-    long = met.select("group_id", "copies", "book_id", "updated_at", "at", "full", fields).select("group_id", "copies", "book_id", "updated_at", "at", "full", "x.*").where("ok")
-    # max_by over (instant, completeness) leaves ties open, so ties go on to a minimum of the id.
-    best = long.groupBy("group_id", "field").agg(F.max(F.struct("at", "full")).alias("top"))
-    return long.join(best, ["group_id", "field"]).where("at = top.at and full = top.full").groupBy("group_id", "field").agg(F.min(F.struct("book_id", "value")).alias("s")).select("group_id", "field", "s.book_id", "s.value")
+    long = members.select("group_id", "book_id", "at", "full", fields).select("group_id", "book_id", "at", "full", "x.*").where("ok").drop("ok")
+    return _best(long, ["group_id", "field"], [F.desc("at"), F.desc("full"), F.asc("book_id")]).select("group_id", "field", "book_id", "value")
 
 
 def found_survivors(df: DataFrame) -> DataFrame:
-    return _choices(df).select(F.col("group_id").alias("group_book_id"), "field", "book_id")
+    return _choices(_members(df)).select(F.col("group_id").alias("group_book_id"), "field", "book_id")
 
 
 def survivors(df: DataFrame) -> DataFrame:
     """One built record a group: each field's surviving value and the latest updated_at of the group."""
-    wide = _choices(df).groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in USABLE])
-    g = groups(df).withColumnsRenamed({"id": "book_id"})
-    rows = g.join(df.select("book_id", "updated_at").dropDuplicates(["book_id"]), "book_id")
-    head = rows.groupBy("group_id").agg(F.max("copies").alias("copies"), F.max_by("updated_at", F.struct(F.unix_micros(instant(F.col("updated_at"))), F.col("updated_at"))).alias("updated_at"))
+    members = cut(_members(df))
+    wide = _choices(members).groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in USABLE])
+    head = members.groupBy("group_id").agg(F.max("copies").alias("copies"), F.max_by("updated_at", F.struct("at", "updated_at")).alias("updated_at"))
     return head.join(wide, "group_id", "left").withColumnRenamed("group_id", "group_book_id")
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """The whole rows of each group ranked by completeness and recency; rank 1 is the best single record."""
-    g = groups(df).withColumnsRenamed({"id": "book_id"})
-    full = sum((F.coalesce(check(f), F.lit(False)).cast("int") for f, check in USABLE.items()), F.lit(0))
-    rows = df.select("book_id", full.alias("full"), F.unix_micros(instant(F.col("updated_at"))).alias("at")).dropDuplicates(["book_id"]).join(g, "book_id")
-    # Rank inside salted slices first, so that no task sorts a whole hot group: only slices' best meet.
-    slice_ = F.pmod(F.xxhash64("book_id"), F.lit(64))
-    order = [F.desc("full"), F.desc_nulls_last("at"), F.asc("book_id")]
-    best = rows.withColumn("slice", slice_).withColumn("r", F.row_number().over(Window.partitionBy("group_id", "slice").orderBy(*order))).where("r = 1")
-    return best.withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where("r = 1").select(F.col("group_id").alias("group_book_id"), "book_id", "copies", F.col("full").alias("usable_fields"))
+    """The best whole row of each group, by completeness, then trust, recency and the smaller id.
+
+    A value is trusted by as many rows of its group as hold the same one; a row by the sum over its usable values.
+    """
+    members = cut(_members(df))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"ok_{f}").alias("ok")) for f in USABLE])).alias("x")
+    long = members.select("group_id", "book_id", fields).select("group_id", "book_id", "x.*").where("ok")
+    votes = long.groupBy("group_id", "field", "value").agg(F.count(F.lit(1)).alias("votes"))
+    trust = long.join(votes, ["group_id", "field", "value"]).groupBy("book_id").agg(F.sum("votes").alias("trust"))
+    rows = members.join(trust, "book_id", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
+    best = _best(rows, ["group_id"], [F.desc("full"), F.desc("trust"), F.desc("at"), F.asc("book_id")])
+    return best.select(F.col("group_id").alias("group_book_id"), "book_id", "copies", F.col("full").alias("usable_fields"), "trust")

@@ -16,6 +16,8 @@ below 1 as 0; repeated source rows add up their weights; weights are scaled to s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,51 +27,47 @@ from .common import cut
 SLICES_BITS = 12
 #: Weights this small count as 0: their amounts could not be told from rounding.
 LEAST_WEIGHT = 1e-12
-#: The targets are a table of sources held by the driver: more rows than this are refused.
-MOST_SOURCES = 10_000
-
-
-def water_fill(weights: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
-    """Amounts that sum to total, or to all caps where total is out of reach; no amount is over its cap."""
-    got = dict.fromkeys(weights, 0.0)
-    free = {s for s, w in weights.items() if w > LEAST_WEIGHT and caps[s] > 0}
-    left = min(total, sum(caps[s] for s in free))
-    while free and left > 0:
-        scale = left / sum(weights[s] for s in free)
-        over = {s for s in free if weights[s] * scale >= caps[s]}
-        if not over:
-            return got | {s: weights[s] * scale for s in free}
-        for s in over:
-            got[s] = caps[s]
-            left -= caps[s]
-        free -= over
-    return got
+
+
+def water_level(sources: DataFrame, total: float) -> float:
+    """The level L at which the amounts min(cap, weight * L) sum to total; infinite where the caps are out of reach.
+
+    sources: (weight, cap), any number. Each round clamps the sources that the level before puts over their caps, so the
+    level only rises, and ends where no further one is clamped. A round brings one row of sums to the driver.
+    """
+    free = sources.where((F.col("weight") > LEAST_WEIGHT) & (F.col("cap") > 0))
+    level = 0.0
+    clamped = -1
+    while True:
+        over = F.col("weight") * F.lit(level) >= F.col("cap")
+        r = free.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cap"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if r["n"] == clamped:
+            return level
+        if not r["weight"] or total <= (r["cap"] or 0.0):
+            return math.inf if not r["weight"] else level
+        clamped, level = r["n"], (total - (r["cap"] or 0.0)) / r["weight"]
 
 
 def _plan(documents: DataFrame, targets: DataFrame, total: float | None) -> tuple[DataFrame, DataFrame]:
-    """The sized texts of wanted sources, and the plan: (source, weight, size, amount, whole, part)."""
-    spark = documents.sparkSession
+    """The sized texts of wanted sources, and the plan: (source, weight, size, amount, whole, part, capped)."""
     wanted = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
-    wanted = wanted.limit(MOST_SOURCES + 1).collect()
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names = spark.createDataFrame([(r["source"],) for r in wanted], "source string")
-    rows = documents.select("doc_id", "source", "text").join(F.broadcast(names), "source", "left_semi")
+    wanted = cut(wanted)
+    rows = documents.select("doc_id", "source", "text").join(wanted.select("source"), "source", "left_semi")
     rows = rows.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(7), "text", F.length("text"))})
     sized = cut(token_counts(rows, "doc_id", "source", "d1", "d2").where("n_tokens > 0"))
     one = sized.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x")).select("x.*")
     one = cut(one)
-    size = {r["source"]: r["n"] for r in one.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    sum_w = sum(r["weight"] for r in wanted) or 1.0
-    weights = {r["source"]: r["weight"] / sum_w for r in wanted}
-    sizes = {r["source"]: size.get(r["source"], 0) for r in wanted}
-    caps = {r["source"]: float(r["max_repeats"] * sizes[r["source"]]) for r in wanted}
-    amounts = water_fill(weights, caps, float(sum(sizes.values())) if total is None else total)
-    plan = []
-    for s, a in amounts.items():
-        whole = int(a / sizes[s] + 1e-9) if sizes[s] else 0
-        plan.append((s, weights[s], sizes[s], a, whole, max(0.0, a - whole * sizes[s]), bool(caps[s] and a >= caps[s])))
-    return one, spark.createDataFrame(plan, "source string, weight double, size long, amount double, whole int, part double, capped boolean")
+    size = one.groupBy("source").agg(F.sum("n_tokens").alias("size"))
+    sums = wanted.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
+    plan = wanted.join(size, "source", "left").withColumns({"weight": F.col("weight") / sums, "size": F.coalesce("size", F.lit(0))})
+    plan = cut(plan.withColumn("cap", (F.col("max_repeats") * F.col("size")).cast("double")))
+    everything = float(plan.agg(F.sum("size").alias("n")).first()["n"] or 0) if total is None else float(total)
+    level = water_level(plan, everything)
+    usable = (F.col("weight") > LEAST_WEIGHT) & (F.col("cap") > 0)
+    amount = F.when(usable, F.least(F.col("cap"), F.col("weight") * F.lit(level))).otherwise(0.0)
+    whole = F.when(F.col("size") > 0, F.floor(amount / F.col("size") + 1e-9)).otherwise(0).cast("int")
+    plan = plan.withColumns({"amount": amount, "whole": whole, "capped": usable & (amount >= F.col("cap"))})
+    return one, plan.withColumn("part", F.greatest(F.lit(0.0), F.col("amount") - F.col("whole") * F.col("size"))).select("source", "weight", "size", "amount", "whole", "part", "capped")
 
 
 def _mix(one: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -77,8 +75,8 @@ def _mix(one: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     rows = one.withColumns({"h": h, "slice": F.shiftrightunsigned(h, 64 - SLICES_BITS)})
     sums = rows.groupBy("source", "slice").agg(F.sum("n_tokens").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).select("source", "slice", "n", "before")
-    # At most sources * 2**12 rows: a proven bound.
-    met = rows.join(F.broadcast(plan.select("source", "whole", "part")), "source").join(F.broadcast(before), ["source", "slice"])
+    # One row a slice of a source: small where sources are few, and then broadcast by its measured size.
+    met = rows.join(before.join(plan.select("source", "whole", "part"), "source"), ["source", "slice"])
     edge = (F.col("before") < F.col("part")) & (F.col("before") + F.col("n") > F.col("part"))
     inner = met.where(edge).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id")))
     inner = inner.withColumn("extra", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("part")).cast("int"))
@@ -97,5 +95,7 @@ def shares(documents: DataFrame, targets: DataFrame, total: float | None = None,
     one, plan = _plan(documents, targets, total)
     got = _mix(one, plan, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     met = plan.join(got, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "most_copies": F.coalesce("most_copies", F.lit(0))})
-    met = met.withColumn("all", F.sum("tokens").over(Window.partitionBy()))  # a row a source, MOST_SOURCES at most
+    met = cut(met)
+    every = met.agg(F.sum("tokens").alias("n")).first()["n"]
+    met = met.withColumn("all", F.lit(every))
     return met.select("source", "weight", "size", F.col("amount").alias("wanted_tokens"), "tokens", F.coalesce(F.try_divide("tokens", "all"), F.lit(0.0)).alias("share"), F.try_divide("tokens", "size").alias("epochs"), "most_copies", "capped")

@@ -31,6 +31,10 @@ from .common import cut
 from .fold import letters, poly_hashes
 
 CONTAINER = 1 << 16
+#: Lines after which a block closes before its rows are full: a block's arrays take some 100 bytes a line.
+BLOCK_LINES = 1_000_000
+#: Different books that a container names: thresholds above it are refused.
+BOOKS = 16
 #: Repeated lines are broadcast up to so many; beyond, they meet the containers by a shuffle.
 MOST_BROADCAST = 200_000
 _SCHEMA = "site string, h1 long, h2 long, container long, n long, books array<long>, bitmap binary, places array<int>, times array<int>, row_book array<string>, row_section array<int>"
@@ -84,7 +88,7 @@ def _block(container: int, names: list, held: list[tuple], ids: list[tuple]) ->
             rows = low[a:b][own]
             bitmaps.append(pack(rows))
             counts.append(len(rows))
-            books.append(np.unique(book_of[rows])[:3])
+            books.append(np.unique(book_of[rows])[:BOOKS])
             times.append(None if len(own) == b - a else np.diff(np.append(own, b - a)))
     n = len(at)
     places = pa.ListArray.from_arrays(pa.array(np.append(at, len(h1)), pa.int32()), pa.array(place, pa.int32()))
@@ -108,17 +112,23 @@ def hash_book(book: str | None) -> int:
     return xxhash.xxh3_64_intdigest(book or "") - (1 << 63)
 
 
+def _fitting(batch: pa.RecordBatch, begin: int, rows: int, lines: int) -> int:
+    """How many of a batch's rows from a place on the block still takes: one at least."""
+    sizes = np.cumsum(np.asarray(batch.column("lines").slice(begin, rows).value_lengths().fill_null(0)))
+    return int(min(len(sizes), max(1, np.searchsorted(sizes, lines) + 1)))
+
+
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, table = TaskContext.get().partitionId(), letters()
     names: list = []
     index: dict = {}
     held: list[tuple] = []
     ids: list[tuple] = []
-    block = 0
+    block = lines = 0
     for whole in batches:
         done = 0
         while done < whole.num_rows:
-            b = whole.slice(done, min(whole.num_rows - done, CONTAINER - len(ids)))
+            b = whole.slice(done, _fitting(whole, done, CONTAINER - len(ids), BLOCK_LINES - lines))
             done += b.num_rows
             row, place, text = row_lines(b)
             h1, h2, kept = poly_hashes(text, table)
@@ -131,9 +141,10 @@ def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = kept > 0
             held.append((h1[ok], h2[ok], site[ok], row[ok] + len(ids), place[ok]))
             ids += zip(b.column("book_id").to_pylist(), b.column("section_idx").to_pylist(), strict=True)
-            if len(ids) == CONTAINER:
+            lines += len(row)
+            if len(ids) == CONTAINER or lines >= BLOCK_LINES:
                 yield from _block((part << 24) + block, names, held, ids)
-                held, ids, block = [], [], block + 1
+                held, ids, block, lines = [], [], block + 1, 0
     if ids:
         yield from _block((part << 24) + block, names, held, ids)
 
@@ -145,13 +156,15 @@ def line_bitmaps(sections: DataFrame) -> DataFrame:
 
 def _of_lines(lines: DataFrame, few: DataFrame) -> DataFrame:
     """The containers of a few lines."""
-    few = few.withColumnsRenamed({"site": "its_site", "h1": "its_h1", "h2": "its_h2", "n": "its_n"})
+    few = few.select(*[c for c in ("site", "h1", "h2", "n") if c in few.columns]).withColumnsRenamed({"site": "its_site", "h1": "its_h1", "h2": "its_h2", "n": "its_n"})
     few = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
     return lines.join(few, F.col("site").eqNullSafe(F.col("its_site")) & (F.col("h1") == F.col("its_h1")) & (F.col("h2") == F.col("its_h2")))
 
 
 def repeated_lines(sections: DataFrame, bitmaps: DataFrame, share: float = 0.05, least_rows: int = 5, least_books: int = 3) -> DataFrame:
     """(site, h1, h2, n) of the lines that are repeated within their site."""
+    if least_books > BOOKS:
+        raise ValueError(f"least_books is at most {BOOKS}")
     rows = sections.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
     lines = bitmaps.where("h1 is not null")
     totals = lines.groupBy("site", "h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows)
@@ -178,18 +191,57 @@ def _look_up(key: tuple, hits: pd.DataFrame, directory: pd.DataFrame) -> pd.Data
 def occurrences(sections: DataFrame, share: float = 0.05, least_rows: int = 5, least_books: int = 3) -> DataFrame:
     """(book_id, section_idx, line_no) of every occurrence of a repeated line."""
     bitmaps = line_bitmaps(sections)
-    lines = bitmaps.where("h1 is not null")
     rep = cut(repeated_lines(sections, bitmaps, share, least_rows, least_books))
-    hits = _of_lines(lines, rep).select("container", "bitmap", "places", "times")
+    return _places(bitmaps, rep)
+
+
+def _places(bitmaps: DataFrame, rep: DataFrame) -> DataFrame:
+    """The places of lines, from the bits of their containers and the directories of the blocks."""
+    hits = _of_lines(bitmaps.where("h1 is not null"), rep).select("container", "bitmap", "places", "times")
     directory = bitmaps.where("row_book is not null").select(F.col("container").alias("block"), "row_book", "row_section")
     return hits.groupBy("container").cogroup(directory.groupBy("block")).applyInPandas(_look_up, "book_id string, section_idx int, line_no int").distinct()
 
 
 def cleaned(sections: DataFrame, **thresholds: float) -> DataFrame:
-    """Each section with its lines but the repeated ones; NULL lines stay NULL."""
-    places = occurrences(sections, **thresholds).groupBy("book_id", "section_idx").agg(F.collect_set("line_no").alias("gone"))
+    """Each section with its lines but the repeated ones; NULL lines stay NULL.
+
+    The lines of a section are hashed once more as they are read and looked up among the repeated ones of its site, which
+    are few by proof: where they are, they go to every task; else each section fetches those of its own hashes.
+    """
+    bitmaps = line_bitmaps(sections)
+    rep = cut(repeated_lines(sections, bitmaps, **thresholds).select("site", "h1", "h2"))
+    schema = "book_id string, section_idx int, site string, lines array<string>, removed int"
     rows = sections.select("book_id", "section_idx", "site", "lines")
+    if rep.count() <= MOST_BROADCAST:
+        known: dict = {}
+        for r in rep.toLocalIterator():
+            known.setdefault(r["site"], set()).add((r["h1"], r["h2"]))
+        told = sections.sparkSession.sparkContext.broadcast(known)
+        return rows.mapInArrow(lambda batches: _cleaned(batches, told.value), schema)
+    places = _places(bitmaps, rep).groupBy("book_id", "section_idx").agg(F.collect_set("line_no").alias("gone"))
     places = places.withColumnsRenamed({"book_id": "its_book", "section_idx": "its_section"})
     met = rows.join(places, F.col("book_id").eqNullSafe(F.col("its_book")) & F.col("section_idx").eqNullSafe(F.col("its_section")), "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
     return met.select("book_id", "section_idx", "site", kept.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch], known: dict) -> Iterator[pa.RecordBatch]:
+    table = letters()
+    for b in batches:
+        row, _, text = row_lines(b)
+        h1, h2, kept = poly_hashes(text, table)
+        sites = b.column("site").to_pylist()
+        gone = np.zeros(len(row), bool)
+        for site in set(sites) & set(known):
+            own = known[site]
+            at = np.flatnonzero(np.asarray([s == site for s in sites])[row] & (kept > 0)) if len(row) else []
+            pairs = zip(h1[at].tolist(), h2[at].tolist(), strict=True)
+            gone[at] = [p in own for p in pairs]
+        lines = b.column("lines")
+        removed = np.bincount(row[gone], minlength=b.num_rows).astype(np.int32) if len(row) else np.zeros(b.num_rows, np.int32)
+        sizes = np.asarray(lines.value_lengths().fill_null(0)) - removed
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        flat = pa.array([t for t, g in zip(text, gone.tolist(), strict=True) if not g], pa.string())
+        null = lines.is_null()
+        out = pa.ListArray.from_arrays(pa.array(ends), flat, mask=null) if null.true_count else pa.ListArray.from_arrays(pa.array(ends), flat)
+        yield pa.RecordBatch.from_arrays([b.column("book_id"), b.column("section_idx").cast(pa.int32()), b.column("site"), out, pa.array(removed)], ["book_id", "section_idx", "site", "lines", "removed"])

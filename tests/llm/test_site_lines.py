@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm import site_lines
@@ -43,3 +44,21 @@ def test_containers(n):
     own = np.sort(np.random.default_rng(n).choice(65536, n, replace=False))
     data = site_lines.pack(own)
     assert (site_lines.unpack(data) == own).all() and len(data) <= 8192
+
+
+def test_blocks_close_by_lines(spark, monkeypatch):
+    rows = [("s", f"b{i % 4}", i, ["same line"] * 3 + [f"own {chr(97 + i)}"], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    batch = pa.RecordBatch.from_pylist([{"site": a, "book_id": b, "section_idx": c, "lines": d} for a, b, c, d, _ in rows])
+    assert site_lines._fitting(batch, 0, 100, 9) == 3 and site_lines._fitting(batch, 18, 100, 1) == 1 and site_lines._fitting(batch, 0, 5, 10**6) == 5
+    assert {tuple(r) for r in site_lines.occurrences(df).collect()} == brute(rows, 0.05, 5, 3)
+    with pytest.raises(ValueError):
+        site_lines.occurrences(df, least_books=17)
+
+
+def test_cleaned_both_ways(spark, monkeypatch):
+    rows = [("s" if i % 5 else None, f"b{i % 4}", i, [f"第{i}页 本站", "", None, f"own {chr(97 + i)}", "本站"], 1) for i in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    one = sorted(map(repr, site_lines.cleaned(df).collect()))
+    monkeypatch.setattr(site_lines, "MOST_BROADCAST", -1)
+    assert one == sorted(map(repr, site_lines.cleaned(df).collect()))
