@@ -1,7 +1,8 @@
 """Problem 8: encoding of the whole corpus with a public byte-level BPE tokenizer.
 
 Method: each partition runs recursive queries in an embedded SQL engine. A batch's texts are cut into words by the
-tokenizer's public pattern; words not met before become (word, pos, id) rows, one a byte. The recursive query joins
+tokenizer's public pattern; words not met before become (word, pos, id) rows, one a byte. A long word is cut before
+where no token that stands in it lies across: nothing can merge there. The recursive query joins
 neighbouring rows with the merge table, finds each word's pair of least rank, contracts it from the left, and goes on
 to the fixpoint; ordered aggregation gives the words' ids back. All places of the least pair contract in one step,
 leftmost first and without overlap: a pair that a merge makes always ranks behind that merge, so the result is that
@@ -18,6 +19,7 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ FILE = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of words given to one recursive query, and words a task remembers: bounds of memory, not of what is encoded.
 QUERY_BYTES, REMEMBERED = 400_000, 300_000
+#: Steps of one recursive query, which keeps them all: what is not done by then goes on from its last step. And the bytes
+#: from which a word is first cut where no token of the vocabulary lies across.
+STEPS, LONG = 48, 96
 
 _STEP = """
 WITH RECURSIVE t(step, word, pos, id) AS (
@@ -43,12 +48,12 @@ WITH RECURSIVE t(step, word, pos, id) AS (
               SELECT p.step, p.word, p.pos, p.id, m.fused, min(m.fused) OVER (PARTITION BY p.word) AS best
               FROM (SELECT step, word, row_number() OVER o AS pos, id, lead(id) OVER o AS next FROM t WINDOW o AS (PARTITION BY word ORDER BY pos)) p
               LEFT JOIN merges m ON m.a = p.id AND m.b = p.next)
-            WHERE best IS NOT NULL))))
+            WHERE best IS NOT NULL AND step < {steps}))))
     WINDOW w AS (PARTITION BY word ORDER BY pos))
   WHERE NOT eaten
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last GROUP BY word
-"""
+SELECT word, list(id ORDER BY pos) AS ids, any_value(last) = {steps} AS unfinished FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last GROUP BY word
+""".replace("{steps}", str(STEPS))
 
 
 def ranks(folder: str, file: str) -> dict[bytes, int]:
@@ -81,24 +86,54 @@ class Encoder:
         self.byte = [vocabulary[bytes([i])] for i in range(256)]
         self.whole = vocabulary
         self.known: dict[str, list[int]] = {}
+        self.finder = None
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": "false"})
         self.db.register("given", merge_table(vocabulary))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def _pieces(self, data: bytes) -> list[bytes]:
+        """A long word in stretches that no token lies across: they are encoded each by itself."""
+        if len(data) < LONG:
+            return [data]
+        if self.finder is None:
+            import ahocorasick
+
+            self.finder = ahocorasick.Automaton()
+            for token in self.whole:
+                if len(token) > 1:
+                    self.finder.add_word(token.decode("latin-1"), len(token))
+            self.finder.make_automaton()
+        out, begin = [], 0
+        # Tokens by where they end: a place is free when no token that ends behind it begins before it.
+        low = np.full(len(data) + 1, len(data), np.int64)
+        for end, size in self.finder.iter(data.decode("latin-1")):
+            low[end + 1] = min(low[end + 1], end + 1 - size)
+        first = np.minimum.accumulate(low[::-1])[::-1]  # the earliest begin of a token that ends here or later
+        for i in range(1, len(data)):
+            if first[i + 1] >= i:
+                out.append(data[begin:i])
+                begin = i
+        return [*out, data[begin:]]
+
     def _learn(self, words: list[str]) -> None:
-        word, pos, ids = [], [], []
-        for i, w in enumerate(words):
-            data = w.encode("utf-8", "surrogatepass")
-            word += [i] * len(data)
-            pos += range(1, len(data) + 1)
-            ids += [self.byte[x] for x in data]
-        self.db.register("given", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int64()), "id": pa.array(ids, pa.int32())}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
-        self.db.unregister("given")
-        got = self.db.sql(_STEP).to_arrow_table()
-        for i, own in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            self.known[words[i]] = own
+        cut = [self._pieces(w.encode("utf-8", "surrogatepass")) for w in words]
+        done: dict[bytes, list[int]] = {}
+        todo = {x: [self.byte[i] for i in x] for x in dict.fromkeys(x for pieces in cut for x in pieces)}
+        while todo:
+            names = list(todo)
+            word = [i for i, x in enumerate(names) for _ in todo[x]]
+            pos = [k for x in names for k in range(1, len(todo[x]) + 1)]
+            ids = [y for x in names for y in todo[x]]
+            self.db.register("given", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int64()), "id": pa.array(ids, pa.int32())}))
+            self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
+            self.db.unregister("given")
+            got = self.db.sql(_STEP).to_arrow_table()
+            todo = {}
+            for i, own, unfinished in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True):
+                (todo if unfinished else done)[names[i]] = own
+        for w, pieces in zip(words, cut, strict=True):
+            self.known[w] = done[pieces[0]] if len(pieces) == 1 else [y for x in pieces for y in done[x]]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.cut(t) if t else [] for t in texts]

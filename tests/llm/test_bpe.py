@@ -39,3 +39,17 @@ def test_round_trip(spark):
     assert bpe.encoded(df).count() == 5
     assert all(r.restored for r in bpe.round_trip(df).collect())
     assert bpe.encoded(df.where("doc_id > 9")).count() == 0
+
+
+def test_very_long_words(both):
+    import random
+    import time
+
+    own, public = both
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)), "9" * 50_000 + "ab" * 20_000]
+    t = time.time()
+    assert own.encode(texts) == [public.encode_ordinary(x) for x in texts]
+    assert time.time() - t < 120
+    pieces = own._pieces(texts[0].encode())
+    assert b"".join(pieces) == texts[0].encode() and len(pieces) > 100
