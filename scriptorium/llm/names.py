@@ -18,7 +18,6 @@ itself.
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -43,6 +42,9 @@ _LATIN_ROLE = re.compile(r"(?:,? *\(?\b(?:ed|eds|editor|trans|translator|author|
 _LATIN_TITLE = re.compile(r"^(?:(?:dr|mr|mrs|ms|prof|sir|by)\b\.? *)+", re.I)
 _LATIN_ORG = re.compile(r"\b(?:publ|hse|pr|coll|writers['’]?s?|press|collective|company|co|studio|studios|publishing|publishers|editions|books|house|group|society|guild|ltd|inc|workshop)\b|&", re.I)
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_BLANKS, _NO_WORD, _NO_WORDS, _SOME = re.compile(r"[\s_]+"), re.compile(r"[^\w]"), re.compile(r"[^\w]+"), re.compile(r"\s+")
+_EDGES = re.compile(r"^[\s“”\"'‘’「」『』《》〈〉【】\[\]()—\-~～!！?？.。…,，:：;；·]+(?!社\)|出版社\)|书社\)|工作室\))|[\s“”\"「」『』《》〈〉【】\[\]~～!！?？。…,，:：;；·\-—]+$")
+_DOTS, _EDITED = re.compile(r"(?<=[^A-Z])\.+$|(?<=\w\w)\.+$"), re.compile(r"\bed\.$")
 #: Short forms of given names.
 NICKNAMES = {"bill": "william", "will": "william", "bob": "robert", "rob": "robert", "dick": "richard", "rick": "richard", "ted": "theodore edward", "ned": "edward", "ed": "edward", "jim": "james", "jack": "john jonathan", "jon": "jonathan john", "steven": "stephen", "catherine": "katherine", "kathryn": "katherine catherine", "ann": "anne", "sara": "sarah", "elisabeth": "elizabeth", "jeffrey": "geoffrey", "eric": "erik", "marc": "mark", "johnny": "john", "dot": "dorothy", "dottie": "dorothy", "lucy": "lucinda lucille", "peg": "margaret", "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "kate": "katherine catherine", "kathy": "katherine catherine", "cathy": "catherine", "kit": "christopher katherine", "chris": "christopher", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "lizzie": "elizabeth", "vicky": "victoria", "tori": "victoria", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "win": "winifred", "winnie": "winifred", "fred": "frederick", "freddie": "frederick", "greg": "gregory", "geoff": "geoffrey", "jeff": "geoffrey jeffrey", "larry": "lawrence", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "charlie": "charles", "chuck": "charles", "hal": "henry", "harry": "henry harold", "hank": "henry", "nick": "nicholas", "nate": "nathaniel", "nat": "nathaniel", "dan": "daniel", "danny": "daniel", "ben": "benjamin", "benny": "benjamin", "becky": "rebecca", "becca": "rebecca", "barb": "barbara", "babs": "barbara", "steph": "stephanie", "steffi": "stephanie", "flo": "florence", "flossie": "florence", "fran": "francesca frances", "frankie": "francesca francis", "hattie": "harriet", "nell": "eleanor helen", "ellie": "eleanor", "nora": "eleanor", "jo": "josephine", "josie": "josephine", "pip": "philippa", "pippa": "philippa", "penny": "penelope", "nelly": "penelope eleanor", "ronnie": "veronica", "vera": "veronica", "gabe": "gabriel", "sandy": "alexander", "alex": "alexander", "al": "albert alexander", "andy": "andrew andre", "drew": "andrew", "vince": "vincent", "vin": "vincent", "jake": "jacob", "sam": "samuel samantha", "mike": "michael", "mick": "michael", "oli": "oliver", "ollie": "oliver", "sue": "susannah susan", "susie": "susannah susan", "tilly": "matilda", "mattie": "matilda", "ursa": "ursula", "matt": "matthew", "tony": "anthony", "joe": "joseph", "zack": "zachary", "abby": "abigail", "debbie": "deborah", "gunni": "gunter", "ren": "renee", "matyi": "matyas", "ulla": "ursula", "iggy": "ignatius", "len": "leonard", "lenny": "leonard", "nes": "ines", "tina": "celestine christina", "debs": "deborah", "steve": "steven stephen", "dave": "david", "phil": "philip", "ray": "raymond", "ron": "ronald", "don": "donald", "ken": "kenneth", "jerry": "gerald jeremy", "terry": "terence theresa", "cindy": "cynthia lucinda", "mandy": "amanda", "jenny": "jennifer", "katie": "katherine catherine", "molly": "mary", "polly": "mary", "nancy": "ann anne", "sally": "sarah", "toby": "tobias", "max": "maximilian", "gus": "augustus", "archie": "archibald", "bert": "albert herbert robert", "bella": "isabella", "izzy": "isabella isidore", "lottie": "charlotte", "millie": "mildred amelia", "trudy": "gertrude"}
 #: Parts of family names that are no initials, though as short.
@@ -102,20 +104,22 @@ _LATIN_OF = {x: g[0] for g in ALIKE if g[0].isascii() and g[0].isalpha() for x i
 def bare(raw: str) -> str:
     """Normal form without decoration: quotes, brackets around all of it, trailing marks, doubled blanks."""
     v = normal(raw)
-    v = re.sub(r"[\s_]+", " ", v.replace("（", "(").replace("）", ")").replace("／", "/")).strip()
+    v = _BLANKS.sub(" ", v.replace("（", "(").replace("）", ")").replace("／", "/")).strip()
     if any(x.isascii() and x.isalpha() for x in v) and not _HAN.search(v):
         v = "".join(_LATIN_OF.get(x, x) for x in v)
     for _ in range(4):
-        w = re.sub(r"^[\s“”\"'‘’「」『』《》〈〉【】\[\]()—\-~～!！?？.。…,，:：;；·]+(?!社\)|出版社\)|书社\)|工作室\))|[\s“”\"「」『』《》〈〉【】\[\]~～!！?？。…,，:：;；·\-—]+$", "", v) if not v.startswith("(") or v.endswith(")") else v.rstrip(" ~～!！?？.。…,，")
-        w = re.sub(r"(?<=[^A-Z])\.+$|(?<=\w\w)\.+$", "", w) if not re.search(r"\bed\.$", w) else w
+        w = _EDGES.sub("", v) if not v.startswith("(") or v.endswith(")") else v.rstrip(" ~～!！?？.。…,，")
+        if w.endswith(".") and not _EDITED.search(w):
+            w = _DOTS.sub("", w)
         if w == v:
             break
         v = w
     return v.strip()
 
 
+@lru_cache(maxsize=1 << 15)
 def parse(raw: str | None) -> dict | None:
-    """kind ('zh' or 'la'), core, whether a form of address suggests a short form, the parts; None for no name."""
+    """kind ('zh' or 'la') and core; None for no name."""
     if not raw:
         return None
     v = bare(raw)
@@ -124,28 +128,24 @@ def parse(raw: str | None) -> dict | None:
         return None
     if _HAN.search(v):
         m = re.match(r"^[\s“”\"「《【\[]*\(([^()]*)\)\s*(.+)$", v)
-        org = False
         if m and _ZH_ORG.search(re.sub(r"\W", "", m.group(1))):
-            v, org = m.group(2), True
+            v = m.group(2)
         v = _ZH_ROLE.sub("", v)
         v = re.sub(r"^作者[:：]?\s*", "", v)
         v = re.sub(r"^[^\w]*(?:网络文学有限公司|文化工作室|工作室|出版社|书社)(?=[^\w]*\w{3,})", "", v)
-        flat = re.sub(r"[^\w]", "", v)
-        latin = re.sub(r"[^A-Za-z]", "", unicodedata.normalize("NFD", v))
-        tail = ""
+        flat = _NO_WORD.sub("", v)
         if (m := _ZH_ORG.search(flat)) and len(flat) - len(m.group()) >= 2:
-            flat, org = flat[: m.start()], True
+            flat = flat[: m.start()]
         elif (m := _ZH_TAIL.search(flat)) and len(_HAN.findall(flat)) - len(m.group()) >= 2:
-            flat, tail = flat[: m.start()], m.group()
+            flat = flat[: m.start()]
             if (m := _ZH_TAIL.search(flat)) and len(flat) - len(m.group()) >= 4:
                 flat = flat[: m.start()]
-        if len(latin) >= 4 and not _HAN.search(flat):
-            return {"kind": "la", "core": latin.lower(), "short": False, "org": True}
+        if not _HAN.search(flat) and len(latin := re.sub(r"[^A-Za-z]", "", unicodedata.normalize("NFD", v))) >= 4:
+            return {"kind": "la", "core": latin.lower()}
         core = "".join(_HAN.findall(flat))
         if not core:
             return None
-        parts = [x for x in re.split(r"[^\w]+", v.strip()) if x]
-        return {"kind": "zh", "core": core, "short": len(core) <= 3, "org": org, "parts": len(parts) == 2 and all(2 <= len(_HAN.findall(x)) for x in parts)}
+        return {"kind": "zh", "core": core}
     v = _LATIN_ROLE.sub("", v)
     v = _LATIN_TITLE.sub("", v)
     org = bool(_LATIN_ORG.search(v))
@@ -155,7 +155,7 @@ def parse(raw: str | None) -> dict | None:
     tokens = [t for t in re.split(r"[^A-Za-zĀ-ʯͰ-ԯ]+", plain) if t]
     if org:  # what tells organisations apart are not the words for their kind
         kept = [t.lower() for t in tokens if not _LATIN_ORG.fullmatch(t) and t.lower() not in ("the", "of", "and", "s", "writers", "for")]
-        return {"kind": "la", "core": "".join(kept), "short": False, "org": True} if kept else None
+        return {"kind": "la", "core": "".join(kept)} if kept else None
     if not tokens:
         return None
     caps = [t for t in tokens if len(t) == 2 and t.isupper()]
@@ -164,11 +164,18 @@ def parse(raw: str | None) -> dict | None:
         out += list(t.lower()) if t in caps and len(tokens) > 1 else [t.lower()]
     if comma and len(out) > 1:
         out = out[1:] + out[:1]
-    return {"kind": "la", "core": " ".join(out), "short": False, "org": org}
+    return {"kind": "la", "core": " ".join(out)}
 
 
 def rotation(s: str) -> str:
-    return min(s[i:] + s[:i] for i in range(len(s))) if s else s
+    """The least of a text's rotations: they begin with its least character."""
+    if len(s) < 2:
+        return s
+    first = min(s)
+    if s.count(first) == 1:
+        i = s.index(first)
+        return s[i:] + s[:i]
+    return min(s[i:] + s[:i] for i, c in enumerate(s) if c == first)
 
 
 def zh_keys(core: str) -> list[str]:
@@ -183,12 +190,12 @@ def zh_keys(core: str) -> list[str]:
         keys += [f"d:{rotation(core)}"]
         keys += sorted({f"p:{(core[i:] + core[:i])[:3]}" for i in (0, 2, 3)})
         keys += [f"wp:{core[:2]}:2"]  # met by short forms only, as plain keys by those of another writing
-        if n >= 5:  # two characters of another writing
-            two = itertools.combinations(range(n), 2) if not odd else [tuple(odd)] if len(odd) == 2 else []
-            if n <= 8:
-                keys += [f"w{'o' if odd else 'p'}:{rotation(''.join(x for k, x in enumerate(core) if k not in (i, j)))}:{n}" for i, j in two]
-            elif len(odd) in (0, 2):  # two of them leave one third whole
-                keys += [f"w{'o' if odd else 'p'}:{k}:{n}" for k in _part_keys("t", core, 3, (n,))]
+        if n >= 5:  # two characters of another writing leave two neighbours whole, in whatever rotation
+            pairs = [core[i - 1] + core[i] for i in range(n) if not odd or (i not in odd and (i - 1) % n not in odd)]
+            if not odd:
+                keys += [f"wp:{x}:{n}" for x in pairs]
+            elif len(odd) == 2:
+                keys += [f"wo:{min(pairs)}:{n}"]
     else:
         keys += [f"p:{core}"] + ([f"wo:{core}:2"] if n == 2 else [])
         if n >= 2:  # one character of the same sound, the others and their places as they are
@@ -433,9 +440,14 @@ def form_of(of_char: dict[str, str]):
     return form
 
 
+@lru_cache(maxsize=1 << 15)
+def _letters(raw: str | None) -> str:
+    return re.sub(r"[\W_]+", "", normal(raw).lower()) if raw else ""
+
+
 @F.pandas_udf(T.StringType())
 def _title_key(raw: pd.Series) -> pd.Series:
-    return pd.Series([re.sub(r"[\W_]+", "", normal(v).lower()) if v else "" for v in raw])
+    return raw.map(_letters)
 
 
 def values_of(books: DataFrame, wishes: DataFrame) -> DataFrame:
@@ -515,7 +527,8 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
     values = cut(values_of(books, wishes))
     forms0 = values.groupBy("kind", "core").agg(F.sum("n").alias("n"))
     of_char = _learn_characters(forms0.select("kind", "core").unionByName(values.select(F.lit("zh").alias("kind"), F.col("title_key").alias("core"))))
-    values = cut(values.select("raw", "n", "title_key", "kind", form_of(of_char)("raw").alias("form")))
+    core = F.when(F.col("kind") == "zh", F.translate("core", "".join(of_char), "".join(of_char.values()))).otherwise(F.col("core"))
+    values = values.select("raw", "n", "title_key", "kind", F.concat("kind", F.lit(":"), core).alias("form"))
     forms = values.groupBy("form").agg(F.sum("n").alias("n"))
     beside = values.where("title_key <> ''").select("kind", F.substring("form", 4, 1 << 20).alias("core"), "title_key", "form").distinct()
     sounds = _learn_sounds(forms, beside)
@@ -568,9 +581,11 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
             out.append(transcribed(han, roman.replace(" ", "")))
         return pd.Series(out)
 
-    @F.pandas_udf(T.BooleanType())
-    def full(form: pd.Series) -> pd.Series:
-        return pd.Series([len(f) - 3 >= 4 if f[:2] == "zh" else sum(len(t) > 2 for t in f[3:].split()) >= 2 or " " not in f[3:] for f in form])
+    def full(form: str) -> F.Column:
+        """Is a form whole: four characters, two parts of three letters, or one part alone?"""
+        own = F.substring(form, 4, 1 << 30)
+        parts = F.size(F.filter(F.split(own, " "), lambda t: F.length(t) > 2)) >= 2
+        return F.when(F.col(form).startswith("zh"), F.length(own) >= 4).otherwise(parts | ~own.contains(" "))
 
     keyed = forms.select("form", "n", F.explode(keys("form")).alias("key"))
     # A pair is met under any of its keys; of a pair, the full form before a short one and then the more frequent one is

@@ -69,8 +69,32 @@ _ISBN = f"""(CASE WHEN length(replace({_DIGITS}, left({_DIGITS}, 1), '')) = 0 TH
  WHEN regexp_full_match({_DIGITS}, '[0-9]{{13}}') THEN list_sum(list_transform(range(1, 14), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END * ({_NTH}))) % 10 = 0 ELSE false END)"""
 
 
+_SITE_LINES = r"""l AS (SELECT book_id, section_idx, site, unnest(lines) line, generate_subscripts(lines, 1) - 1 AS line_no FROM sections),
+k AS (SELECT book_id, section_idx, site, line_no::INTEGER line_no, regexp_replace(lower(upper(line)), '[^\p{L}\p{M}]', '', 'g') AS key FROM l),
+n AS (SELECT site, count(*) AS site_rows FROM sections GROUP BY site),
+r AS (SELECT k.site, key FROM k JOIN n ON k.site IS NOT DISTINCT FROM n.site WHERE key <> '' GROUP BY k.site, key, site_rows
+      HAVING count(DISTINCT (book_id, section_idx)) >= greatest(5, 0.05 * site_rows) AND count(DISTINCT book_id) >= 3)"""
+_AT = "try_cast(nullif(trim(updated_at), '') AS TIMESTAMPTZ)"
+_COPIES = f"""{_GROUPS}, g AS (SELECT x, y, min(book_id) AS group_book_id, count(*) AS copies FROM k GROUP BY x, y HAVING count(*) > 1),
+m AS (SELECT g.group_book_id, g.copies, b.* FROM g JOIN k USING (x, y) JOIN books b USING (book_id)),
+f AS (SELECT group_book_id, copies, book_id, updated_at, unnest(['isbn', 'publisher', 'cover_file']) AS field, unnest([isbn, publisher, cover_file]) AS value, unnest([{_ISBN}, {_TEXT('publisher')}, {_COVER}]) AS ok, {_ISBN}::INT + {_TEXT('publisher')}::INT + {_COVER}::INT AS used FROM m)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_clean": f"""
+WITH {_SITE_LINES}, g AS (SELECT book_id, section_idx, list(DISTINCT line_no) AS gone FROM k JOIN r ON k.site IS NOT DISTINCT FROM r.site AND k.key = r.key GROUP BY ALL)
+SELECT s.book_id, s.section_idx, s.site, CASE WHEN g.gone IS NULL THEN s.lines ELSE list_filter(s.lines, lambda x, i: NOT list_contains(g.gone, (i - 1)::INTEGER)) END AS lines, coalesce(len(g.gone), 0)::INTEGER AS removed
+FROM sections s LEFT JOIN g ON s.book_id = g.book_id AND s.section_idx = g.section_idx""",
+        "p5_survivors": f"""
+WITH {_COPIES}, s AS (SELECT group_book_id, field, value FROM f WHERE ok QUALIFY row_number() OVER (PARTITION BY group_book_id, field ORDER BY {_AT} DESC NULLS LAST, used DESC, book_id) = 1)
+SELECT h.group_book_id, h.copies, h.updated_at, max(CASE WHEN field = 'isbn' THEN value END) AS isbn, max(CASE WHEN field = 'publisher' THEN value END) AS publisher, max(CASE WHEN field = 'cover_file' THEN value END) AS cover_file
+FROM (SELECT group_book_id, copies, updated_at FROM m QUALIFY row_number() OVER (PARTITION BY group_book_id ORDER BY {_AT} DESC NULLS LAST, updated_at DESC) = 1) h LEFT JOIN s USING (group_book_id) GROUP BY ALL""",
+        "p5_ranked": f"""
+WITH {_COPIES}, v AS (SELECT *, count(*) OVER (PARTITION BY group_book_id, field, value) AS votes FROM f WHERE ok),
+t AS (SELECT book_id, sum(votes)::BIGINT AS trust FROM v GROUP BY book_id)
+SELECT group_book_id, book_id, copies, used AS usable_fields, coalesce(trust, 0) AS trust FROM (SELECT DISTINCT group_book_id, book_id, copies, used, updated_at FROM f) LEFT JOIN t USING (book_id)
+QUALIFY row_number() OVER (PARTITION BY group_book_id ORDER BY used DESC, coalesce(trust, 0) DESC, {_AT} DESC NULLS LAST, book_id) = 1""",
         "p2_found": r"""
 WITH l AS (SELECT book_id, section_idx, site, unnest(lines) line, generate_subscripts(lines, 1) - 1 AS line_no FROM sections),
 k AS (SELECT book_id, section_idx, site, line_no::INTEGER line_no, regexp_replace(lower(upper(line)), '[^\p{L}\p{M}]', '', 'g') AS key FROM l),

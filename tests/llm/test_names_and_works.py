@@ -89,18 +89,23 @@ def test_transitivity_holds_a_wish_to_one_work():
     assert free.min() > 0.9 and held[0] < 0.5 and held[1] > 0.9 and held[2] == free[2]
 
 
-def test_expectation_maximization_moves_the_boundary(spark):
+def test_expectation_maximization_moves_the_boundary(spark, monkeypatch):
     """Where mistyped titles are many and unlike ones far, a weaker title is still matched; at first it is not."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     cells = np.concatenate([rng.normal((0.99, 0.98), 0.01, (200, 2)), rng.normal((0.5, 0.98), 0.04, (200, 2)), rng.normal((0.1, 0.98), 0.02, (400, 2))]).clip(0, 1)
-    rows = spark.createDataFrame([(float(x), float(y), 1.0, 1.0, None, None) for x, y in cells], "x1 double, x2 double, t1 double, t2 double, y1 double, y2 double")
-    m = entity.Mixture()
+    rows = spark.createDataFrame([(float(x), float(y), 1.0, 1.0, None, None, 1) for x, y in cells], "x1 double, x2 double, t1 double, t2 double, y1 double, y2 double, n long")
+    m, far = entity.Mixture(), entity.Mixture()
     weak = np.array([[0.33, 0.98]])
     before = m.posterior(weak)[0]
-    for _ in range(entity.ROUNDS):
-        m.refit(rows)
+    m.fit(rows, entity.ROUNDS)
+    monkeypatch.setattr(entity, "MOST_CELLS", -1)
+    far.fit(rows, 3)
+    near = entity.Mixture()
+    monkeypatch.setattr(entity, "MOST_CELLS", 10**6)
+    near.fit(rows, 3)
+    assert np.allclose(far.mean, near.mean) and np.allclose(far.cov, near.cov)
     assert before < 0.5 < m.posterior(weak)[0]
 
 
