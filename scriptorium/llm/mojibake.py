@@ -372,22 +372,25 @@ def _learned(values: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
     return prior.drop("n")
 
 
-def judged(books: DataFrame, sections: DataFrame, lines: bool = True, rounds: int = ROUNDS) -> DataFrame:
+#: The fields of books that may be garbled.
+FIELDS = ("title", "description")
+
+
+def judged(books: DataFrame, sections: DataFrame, lines: bool = True, rounds: int = ROUNDS, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Every affected value: its place, the most probable chain, its posterior and the text read back.
 
-    lines=False judges the fields of books alone, with the same character frequencies and so with the same result.
+    lines=False and fewer fields judge these alone, with the same character frequencies, and as each field has shares of
+    its own with the same result.
     """
-    fields = ("title", "description")
     own_sections = sections.select("book_id", "section_idx", "site", "lines")
     sites = sections.groupBy("book_id").agg(F.min("site").alias("site"))
-    own_books = books.select("book_id", *fields)
-    log_p = frequencies(own_books.select(*fields), own_sections.select("lines"))
-    own_books = own_books.join(sites, "book_id", "left")
+    log_p = frequencies(books.select(*FIELDS), own_sections.select("lines"))
+    own_books = books.select("book_id", *fields).join(sites, "book_id", "left")
     values = own_books.mapInArrow(_of_fields(log_p, fields), _OUT)
     if lines:
         values = values.unionByName(own_sections.mapInArrow(_of_lines(log_p), _OUT))
     values = cut(values.withColumn("key", _of_source()))
-    sizes = own_books.groupBy(F.col("site").alias("source")).agg(*[F.count(f).alias(f) for f in fields]).select("source", F.stack(F.lit(2), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "n"))
+    sizes = own_books.groupBy(F.col("site").alias("source")).agg(*[F.count(f).alias(f) for f in fields]).select("source", F.stack(F.lit(len(fields)), *[x for f in fields for x in (F.lit(f), F.col(f))]).alias("field", "n"))
     if lines:
         sizes = sizes.unionByName(own_sections.groupBy(F.col("site").alias("source")).agg(F.sum(F.greatest(F.size("lines"), F.lit(0)).cast("long")).alias("n")).withColumn("field", F.lit("lines")))
     prior = _learned(values, sizes, rounds)

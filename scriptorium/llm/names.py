@@ -596,7 +596,7 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
     either = (F.col("a.wild") == 0) | (F.col("a.wild") + F.col("b.wild") > 2)
     met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.x") < F.col("b.x")) & either).select(F.col("a.x.form").alias("form"), F.col("b.x.form").alias("name"), F.col("b.x.n").alias("n")).distinct()
     scored = cut(met.withColumn("ll", likelihood("form", "name")).where(F.col("ll") > _NEVER))
-    t = beside.select("form", "title_key").distinct()
+    t = beside.select("form", "title_key")
     shared = scored.select("form", "name").join(t, "form").join(t.select(F.col("form").alias("name"), "title_key"), ["name", "title_key"]).groupBy("form", "name").agg(F.count(F.lit(1)).alias("titles"))
     scored = scored.join(shared, ["form", "name"], "left").withColumn("score", F.col("ll") + F.log(F.col("n")) + 3.0 * F.log1p(F.coalesce("titles", F.lit(0))))
     w = Window.partitionBy("form")

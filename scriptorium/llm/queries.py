@@ -14,13 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _matches(s: SparkSession, d: str) -> DataFrame:
     books = table(s, d, "books")
-    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False).where("field = 'title'").select("book_id", "restored").dropDuplicates(["book_id"])
+    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False, fields=("title",)).select("book_id", "restored").dropDuplicates(["book_id"])
     return entity.matched(books, table(s, d, "wishlist"), garbled)
 
 
 def _lookalikes(s: SparkSession, d: str) -> DataFrame:
     books = table(s, d, "books")
-    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False)
+    garbled = mojibake.judged(books, table(s, d, "sections"), lines=False, fields=("title",))
     return lookalike.found(books, table(s, d, "wishlist"), garbled)
 
 
