@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -79,6 +81,25 @@ def source_type(name: str | None, media: str | None, probe: bytes | None) -> str
     return "txt" if media.startswith("text/") or looks_like_text(probe) else "unknown"
 
 
+def is_package(data: bytes | None) -> bool:
+    """A readable archive with the mimetype of packaged books or a container's description: asks for the whole file."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(bytes(data or b""))) as z:
+            names = set(z.namelist())
+            return "META-INF/container.xml" in names or ("mimetype" in names and z.read("mimetype").strip() == b"application/epub+zip")
+    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError):
+        return False
+
+
+def whole_type(name: str | None, media: str | None, data: bytes | None) -> str:
+    """The type of a whole file: magic bytes alone make no package."""
+    kind = source_type(name, media, data)
+    named = (name or "").lower().endswith(".epub") or media == "application/epub+zip"
+    if kind != "epub" or named or is_package(data):
+        return kind
+    return source_type(None, media, b"x" + bytes(data or b"")[1:]) if looks_like_text(bytes(data or b"")) else "unknown"
+
+
 @F.pandas_udf(T.StringType())
 def source_types(name: pd.Series, media: pd.Series, probe: pd.Series) -> pd.Series:
     return pd.Series([source_type(*x) for x in zip(name, media, probe, strict=True)])

@@ -230,3 +230,15 @@ def metadata_score(query: Column | str, expected: Column | str, **c: str) -> Col
     asked = F.when(a > 0, a).when(F.coalesce(F.col(n["author"]), F.lit("")) != "", -2).otherwise(0)
     by_author = F.when(F.coalesce(col(expected), F.lit("")) != "", asked).otherwise(has("author", 2))
     return title_score(n["title"], query) * 3 + by_author + has("description", 2) + has("publisher", 1) + has("isbn", 2) + has("published", 1) + F.when(F.size(n["tags"]) > 0, 1).otherwise(0)
+
+
+def on_host(url: Column | str, *hosts: str) -> Column:
+    """Is an address on one of these hosts or below?"""
+    host = F.lower(F.coalesce(F.try_parse_url(col(url), F.lit("HOST")), F.lit("")))
+    return host.rlike(rf"(?:^|\.)(?:{'|'.join(h.replace('.', chr(92) + '.') for h in hosts)})$")
+
+
+def style_differs(stored: Column | str, expected: Column | str) -> Column:
+    """Do two style sheets differ in more than line ends and outer blanks? NULL stored: there is none."""
+    plain = lambda c: strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), "\r\n?", "\n"))
+    return F.when(col(stored).isNull(), plain(expected) != "").otherwise(plain(stored) != plain(expected))

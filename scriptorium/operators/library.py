@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..params import last_page
 
 
 
@@ -51,6 +52,12 @@ def library_page(books: DataFrame, wishes: DataFrame, query: str = "", read_filt
     return rows.orderBy(key.desc_nulls_last(), "book_id").offset(skip).limit(size).select("book_id", "title", "author", "tracker_status", "tracker_rating", "created_at", "updated_at")
 
 
+def library_page_within(books: DataFrame, wishes: DataFrame, query: str = "", read_filter: str = "all", sort: str = "updated", page: int = 1, per_page: int = 24) -> DataFrame:
+    """The same, the page held to those there are: one beyond the last is the last."""
+    total = library_count(books, wishes, query, read_filter).first()["total"] if page > 1 else 0
+    return library_page(books, wishes, query, read_filter, sort, min(page, last_page(total, per_page)) if page > 1 else 1, per_page)
+
+
 def library_count(books: DataFrame, wishes: DataFrame, query: str = "", read_filter: str = "all") -> DataFrame:
     return _matching(books, wishes, query, read_filter).agg(F.count(F.lit(1)).alias("total"))
 

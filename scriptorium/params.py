@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
+from urllib.parse import urlsplit
 
 
 def choice(value: str | None, allowed: tuple[str, ...], other: str, aliases: dict[str, str] | None = None) -> str:
@@ -51,3 +53,19 @@ def setting(name: str, other: str | None = None) -> str | None:
     if path and Path(path).is_file():
         return Path(path).read_text(encoding="utf-8").strip() or other
     return other
+
+
+#: The words of a form's flag that mean yes.
+YES = frozenset({"1", "true", "yes", "on"})
+
+
+def flag(v: object) -> bool:
+    """A form's flag: one of the words for yes, or true itself."""
+    return v is True or (isinstance(v, str) and v.strip().lower() in YES)
+
+
+def local_target(v: object, other: str) -> str:
+    """Where to go on: a path of this site with its query, else the other target."""
+    url = urlsplit(v.strip()) if isinstance(v, str) else urlsplit("")
+    ours = not url.scheme and not url.netloc and re.match(r"/(?!/)", url.path)
+    return f"{url.path}?{url.query}" if ours and url.query else url.path if ours else other

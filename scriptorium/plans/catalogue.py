@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import python
 from ..functions import text as X
 from ..operators import header
 from ..operators import library as L
 from ..operators import lines as N
 from ..operators import lookup, records, search, tables
-from ..rules import SPECIAL
+from ..rules import CHAPTERS, SPECIAL, Rules
 from ..schemas import BOOKS, WISHLIST, conform, read_table
+from ..sources import epub
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +88,34 @@ def _names(b: DataFrame) -> DataFrame:
     return b.select("book_id", t.alias("title"), a.alias("author"))
 
 
+def _decoded(d: DataFrame) -> DataFrame:
+    """The corpus's texts as bytes with and without a mark of their order, decoded again."""
+    content = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray())), F.encode("text", "UTF-8"))
+    return d.select("doc_id", python.decoded(content).alias("d")).select("doc_id", "d.encoding", "d.text")
+
+
+def _volumes_by_rule(d: DataFrame) -> DataFrame:
+    """The volumes of rules that take numbered chapters for such."""
+    return N.volumes(N.lines_of(d, "doc_id", "text"), "doc_id", Rules(chapters=(), volumes=CHAPTERS, special=()))
+
+
+def _changed_keys(w: DataFrame) -> DataFrame:
+    """Rows whose title took on the author's name: their keys are no longer those stored."""
+    return records.refreshed_keys(w.withColumn("title", F.concat_ws(" ", "title", "author")))
+
+
+def _round_trip(b: DataFrame, s: DataFrame) -> DataFrame:
+    """Books built as packages from their sections and read back."""
+    made = epub.build(b, s).withColumnRenamed("epub", "content")
+    return epub.read_sections(made).select("book_id", "section_idx", "title")
+
+
+def _patched(b: DataFrame, s: DataFrame) -> DataFrame:
+    """Packages patched with a new publisher and series, and read back."""
+    made = epub.build(b, s.where("section_idx = 0")).withColumnRenamed("epub", "content")
+    return epub.read_metadata(epub.patched(made, {"publisher": "新社", "series": "丛书"}).withColumn("source_name", F.lit("x.epub"))).select("book_id", "publisher", "series", "language")
+
+
 def _headers(d: DataFrame) -> DataFrame:
     """Header metadata of the corpus's texts; the name of the source stands for a missing title."""
     return header.headers(d, "doc_id", "text", "source").drop("skipped")
@@ -96,6 +126,7 @@ def queries() -> dict[str, Query]:
     wb = _q("wishlist", "books")
     out: dict[str, Query] = {
         "library_page": bw(lambda b, w: L.library_page(b, w, read_filter="unread", page=2)),
+        "library_page_within": bw(lambda b, w: L.library_page_within(b, w, read_filter="unread", page=10_000)),
         "library_page_created": bw(lambda b, w: L.library_page(b, w, sort="created", per_page=48)),
         "library_search": bw(lambda b, w: L.library_page(b, w, query="的", per_page=96)),
         "library_count": bw(lambda b, w: L.library_count(b, w, query="之", read_filter="unread")),
@@ -140,6 +171,11 @@ def queries() -> dict[str, Query]:
         "theme_usage": _q("books")(lambda b: L.template_usage(b, "theme_template")),
         "rule_used": _q("books")(lambda b: L.with_templates(b, b.sparkSession.createDataFrame([("default",), ("loose",)], "id string"), "rule_template", "default").select("book_id", "rule_template_used")),
         "archive_names": _q("books")(L.archive_names),
+        "decoded_texts": _q("documents")(_decoded),
+        "volumes_by_rule": _q("documents")(_volumes_by_rule),
+        "changed_keys": _q("wishlist")(_changed_keys),
+        "epub_round_trip": _q("books", "sections")(_round_trip),
+        "metadata_patch": _q("books", "sections")(_patched),
         "tags_split": _q("books")(_tags),
         "clean_fields": _q("books")(_clean),
         "names_of_files": _q("books")(_names),
@@ -209,6 +245,18 @@ sec AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1
 _TEXT = f"st AS (SELECT book_id, section_idx, title, {_STRIP('text')} AS text FROM (SELECT book_id, section_idx, title, regexp_replace(array_to_string(lines, ' '), '{_WS}+', ' ', 'g') AS text FROM sections) WHERE {_STRIP('text')} <> '')"
 
 
+_TOLD = lambda c: f"CASE WHEN {_KEY(c)} <> '' THEN {c} END"
+_TRIM = lambda c: rf"regexp_replace({c}, '^[ \t\r\n\-_.，。;；:：]+|[ \t\r\n\-_.，。;；:：]+$', '', 'g')"
+_PLAIN = lambda c: f"nullif(trim(regexp_replace(regexp_replace({_UNESCAPED(c)}, '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g')), '')"
+
+
+def _UNESCAPED(c: str) -> str:
+    """The entities that these tables hold; the ampersand's last."""
+    for entity, text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{text}')"
+    return c
+
+
 def oracle_sql() -> dict[str, str]:
     page = f"SELECT b.book_id, b.title, b.author, w.read_status AS tracker_status, w.rating AS tracker_rating, b.created_at, b.updated_at FROM books b LEFT JOIN wishlist w ON w.library_book_id = b.book_id WHERE NOT b.archived"
     like = lambda q: f"(lower(b.title) LIKE '%{q}%' OR lower(coalesce(b.author, '')) LIKE '%{q}%')"
@@ -216,6 +264,8 @@ def oracle_sql() -> dict[str, str]:
     books = ", ".join(BOOK_COLUMNS)
     return {
         "library_page": f"{page} AND {unread} ORDER BY {_EFFECTIVE} DESC NULLS LAST, b.book_id LIMIT 24 OFFSET 24",
+        "library_page_within": f"WITH z AS ({page} AND {unread}) SELECT * EXCLUDE (rn, n) FROM (SELECT z.*, row_number() OVER (ORDER BY coalesce(nullif(updated_at, ''), created_at) DESC NULLS LAST, book_id) AS rn, count(*) OVER () AS n FROM z) WHERE rn > ((n - 1) // 24) * 24",
+        "epub_round_trip": "SELECT s.book_id, (row_number() OVER (PARTITION BY s.book_id ORDER BY section_idx) - 1)::INTEGER AS section_idx, s.title FROM sections s JOIN books b USING (book_id) WHERE len(lines) > 0 OR kind = 'chapter'",
         "library_page_created": f"{page} ORDER BY b.created_at DESC NULLS LAST, b.book_id LIMIT 48",
         "library_search": f"{page} AND {like('的')} ORDER BY {_EFFECTIVE} DESC NULLS LAST, b.book_id LIMIT 96",
         "library_count": f"SELECT count(*) AS total FROM books b LEFT JOIN wishlist w ON w.library_book_id = b.book_id WHERE NOT b.archived AND {like('之')} AND {unread}",
@@ -271,6 +321,11 @@ SELECT id, book_id, reason, pos::INTEGER AS pos FROM (SELECT *, row_number() OVE
         "headings": f"WITH {_HEADINGS} SELECT doc_id, line_no::INTEGER AS line_no, line, kind FROM h WHERE kind IS NOT NULL",
         "sections": f"WITH {_SECTIONS} SELECT doc_id, section_idx::INTEGER AS section_idx, kind, volume_title, title, lines FROM sec",
         "section_counts": f"WITH {_SECTIONS} SELECT doc_id, count_if(kind = 'volume')::BIGINT AS volumes, count_if(kind = 'chapter')::BIGINT AS chapters, sum(len(lines))::BIGINT AS n_lines, (list(title ORDER BY section_idx))[:10] AS first_titles FROM sec GROUP BY doc_id",
+        "decoded_texts": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'utf-8-sig' END AS encoding, text FROM documents",
+        "volumes_by_rule": f"WITH {_HEADINGS}, v AS (SELECT doc_id, line_no, s FROM y WHERE s <> '' AND (alone OR (NOT regexp_matches(s, '[。！？]$') AND length(s) <= 40 AND length(s) - length(regexp_replace(s, '[，,]', '', 'g')) <= 1)) AND (regexp_matches(s, '^第{_N}[章节回]') OR regexp_matches(s, '(?i)^Chapter{_WS}+[0-9]+'))) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INTEGER AS volume_idx, s AS title FROM v",
+        "changed_keys": f"SELECT id, {_KEY('t')} AS identity_title, {_KEY('author')} AS identity_author FROM (SELECT *, concat_ws(' ', title, author) AS t FROM wishlist) WHERE coalesce(identity_title, '') <> {_KEY('t')} OR coalesce(identity_author, '') <> {_KEY('author')}",
+        "clean_fields": f"SELECT book_id, coalesce(nullif(regexp_extract({_PLAIN('published')}, '[0-9]{{4}}(-[0-9]{{1,2}}(-[0-9]{{1,2}})?)?', 0), ''), {_PLAIN('published')}) AS published, coalesce(nullif(upper(regexp_extract({_PLAIN('isbn')}, '[0-9Xx-]{{10,20}}', 0)), ''), {_PLAIN('isbn')}) AS isbn, upper(regexp_replace(coalesce(isbn, ''), '[^0-9Xx]+', '', 'g')) AS isbn_key, {_PLAIN('description')} AS description FROM books",
+        "names_of_files": f"WITH r AS (SELECT book_id, {_STRIP("concat('《', title, '》作者：', coalesce(author, ''), '（完）.txt')")} AS raw FROM books), p AS (SELECT book_id, {_STRIP(f"regexp_extract(raw, '《{_WS}*([^》]+?){_WS}*》', 1)")} AS wrapped, {_TRIM(rf"regexp_extract(raw, '作{_WS}*者{_WS}*[:：]{_WS}*([^(\[（【<《》]+)', 1)")} AS author, {_TRIM(rf"regexp_replace(regexp_replace(raw, '作{_WS}*者{_WS}*[:：][\s\S]*$', ''), '[(\[（【][\s\S]*$', '')")} AS head FROM r) SELECT book_id, coalesce({_TOLD('wrapped')}, {_TOLD('head')}) AS title, {_TOLD('author')} AS author FROM p",
         "volumes": f"WITH {_HEADINGS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INTEGER AS volume_idx, s AS title FROM h WHERE kind = 'volume'",
         "section_names": f"""
 WITH s AS (SELECT book_id, section_idx, title, kind, row_number() OVER w AS n, lag(section_idx) OVER w AS prev_idx, lead(section_idx) OVER w AS next_idx,

@@ -196,6 +196,14 @@ class Package:
         return None
 
 
+def documents_root(paths: list[str]) -> str:
+    """The folder that all documents share, without a last part that only says text; '' for the package's own."""
+    folders = [posixpath.dirname(p) for p in paths]
+    shared = posixpath.commonpath(folders) if folders and all(folders) else ""
+    head, last = posixpath.split(shared)
+    return head if last.lower() in ("text", "xhtml", "html") else shared
+
+
 def _html_title(text: str) -> str | None:
     for tag in ("title", "h1", "h2"):
         m = re.search(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", text)
@@ -424,6 +432,23 @@ def with_metadata(data: bytes, meta: dict, now: datetime | None = None) -> bytes
     return rewrite(data, change)
 
 
+def patched(books: DataFrame, meta: dict) -> DataFrame:
+    """(book_id, content) with the metadata of every package patched; unreadable packages are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for book, data in zip(b.column("book_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    out.append(with_metadata(data, meta))
+                except (zipfile.BadZipFile, ET.ParseError, ValueError, TypeError):
+                    continue
+                ids.append(book)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["book_id", "content"])
+
+    return books.select("book_id", "content").mapInArrow(run, "book_id string, content binary")
+
+
 def without_webp(data: bytes) -> bytes:
     """WebP images, their manifest rows and the pictures that show them go; a package without them stays as it is."""
     p = Package(data)

@@ -114,3 +114,32 @@ def test_entities(spark):
     got = df.select("t", X.unescape("t").alias("u"), F.transform("a", X.unescape).alias("v")).collect()
     assert {r.t: r.u for r in got} == {t: html.unescape(t) for t in texts} | {None: None}
     assert all(r.v is None or r.v == [r.u] for r in got)
+
+
+def test_flags_targets_hosts_and_styles(spark):
+    from scriptorium import params
+
+    assert [params.flag(v) for v in (True, " Yes ", "1", "no", None, 1, "")] == [True, True, True, False, False, False, False]
+    got = [params.local_target(v, "/") for v in ("/a?b=1#c", "/a", "//evil/x", "http://x/y", "a", None, "", "/")]
+    assert got == ["/a?b=1", "/a", "/", "/", "/", "/", "/", "/"]
+    rows = [("https://www.site.com/x", "a\r\nb ", "a\nb"), ("https://mysite.com/x", "a", "b"), (None, None, " "), ("x", None, "a")]
+    df = spark.createDataFrame(rows, "u string, s string, e string").select(X.on_host("u", "site.com").alias("h"), X.style_differs("s", "e").alias("d"))
+    assert [tuple(r) for r in df.collect()] == [(True, False), (False, True), (False, False), (False, True)]
+
+
+def test_whole_files():
+    import io
+    import zipfile
+
+    from scriptorium.sources.epub import documents_root
+
+    def zipped(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, "x")
+        return out.getvalue()
+
+    assert P.whole_type("a", None, zipped("META-INF/container.xml")) == "epub" and P.whole_type("a", None, zipped("b")) == "unknown"
+    assert P.whole_type("a.epub", None, b"x") == "epub" and P.whole_type(None, None, b"hello") == "txt" and P.whole_type(None, None, None) == "unknown"
+    assert documents_root(["OEBPS/Text/a.xhtml", "OEBPS/Text/b.xhtml"]) == "OEBPS" and documents_root(["a.xhtml"]) == "" and documents_root(["O/x/a", "O/y/b"]) == "O" and documents_root([]) == ""

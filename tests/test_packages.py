@@ -65,15 +65,18 @@ def test_stream(spark, tmp_path):
     land.mkdir()
     (land / "《灯》作者：某人.txt").write_bytes("第一章\n甲\n".encode("gb18030"))
     (land / "x.bin").write_bytes(b"\0\1\2")
+    (land / "bad.epub").write_bytes(b"PK no package")
+    (land / "c.epub").write_bytes(made())
     run = lambda: ingest.ingest(spark, str(land), str(out), str(check)).awaitTermination()
     run()
     (land / "b.txt").write_text("书名：海\n\n第一章\n乙")
     run()
     run()
     books = spark.read.parquet(str(out / "books"))
-    assert sorted((r.title, r.author) for r in books.collect()) == [("海", None), ("灯", "某人")]
-    assert spark.read.parquet(str(out / "sections")).count() == 2
-    assert sorted(r.status for r in spark.read.parquet(str(out / "jobs")).collect()) == ["failed", "success", "success"]
+    assert sorted((r.title, r.author) for r in books.collect()) == [("海", None), ("灯", "某人"), ("灯 & 火", "某人")]
+    parts = spark.read.parquet(str(out / "sections"))
+    assert parts.count() == 4 and ["甲 <1>", "乙"] in [r.lines[-2:] for r in parts.collect()]
+    assert sorted(r.status for r in spark.read.parquet(str(out / "jobs")).collect()) == ["failed", "failed", "success", "success", "success"]
 
 
 def test_progress_stream(spark, tmp_path):
@@ -94,7 +97,38 @@ def test_pages(spark):
     html = ld + '<meta property="og:image" content="//img/x.jpg"><a class="tag">甲</a><a class="tag">乙</a><span class="pl">出版社:</span> 某社<br>'
     r = lookup.page_record(spark.createDataFrame([("u", html), ("v", "<title>海</title>")], "url string, html string")).orderBy("url").collect()
     assert (r[0].title, r[0].author, r[0].isbn, r[0].publisher, r[0].cover_url, r[0].tags) == ("灯", "某人", "9780000000002", "某社", "https://img/x.jpg", ["甲", "乙"])
-    assert (r[1].title, r[1].author, r[1].tags) == ("海", None, [])
+    assert (r[1].title, r[1].author, r[1].tags) == (None, None, [])
+
+
+def test_review_pages(spark):
+    pages = {
+        "criteria": "<script>criteria = '7:小说|7:文学|3:/subject/1/|7:小说';</script>",
+        "intro": '<div class="intro"><p>短。</p></div><div class="intro"><p>第一段。</p>\n <p>第二段。<br>换行&amp;继续。</p></div>',
+        "cover": '<meta property="og:image" content="https://a/b.jpg"/><a href="https://c/d.jpg" class="x nbg">c</a>',
+        "text": "<span>出版社:</span> 某社 <span>出版年:</span> 2001-2 <span>ISBN:</span> 9780000000002",
+        "list": '<script type="application/ld+json">[{"@type":"Thing"},{"@type":["Book","X"],"name":"灯","author":["甲",{"name":"乙"}],"image":[{"url":"bad"},{"url":"//i/x.png"}],"description":{"text":"说"},"inLanguage":"zh","keywords":"a, b"}]</script>',
+    }
+    got = {r.url: r for r in lookup.page_record(spark.createDataFrame(list(pages.items()), "url string, html string")).collect()}
+    assert got["criteria"].tags == ["小说", "文学"] and got["intro"].description == "第一段。\n\n第二段。\n换行&继续。"
+    assert got["cover"].cover_url == "https://c/d.jpg"
+    assert (got["text"].publisher, got["text"].published, got["text"].isbn) == ("某社", "2001-2", "9780000000002")
+    r = got["list"]
+    assert (r.title, r.author, r.cover_url, r.description, r.language, r.tags) == ("灯", "甲, 乙", "https://i/x.png", "说", "zh", ["a", "b"])
+
+
+def test_shop_pages(spark):
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"Dune","author":{"name":"A B"},"brand":{"name":"Ace"},"isbn":"9780441172719","keywords":"x, y"}</script>'
+    page = """<meta name="title" content="Amazon.com: Past Noon: 9780679824251: Osborne: Books"/><div id="bylineInfo"><a>Mary O</a><a>Sal M</a><a>Mary O</a></div>
+<div id="bookDescription_feature_div"><span class="a-expander-partial-collapse-content">Jack and Annie are in deep trouble, as so often before.</span></div>
+<div id="rpi-attribute-book_details-publisher"><div class="rpi-attribute-value"><span>Random &amp; Co</span></div></div>
+<div id="rpi-attribute-book_details-language"><div class="rpi-attribute-value"><span>English</span></div></div>
+<div id="rpi-attribute-book_details-isbn13"><div class="rpi-attribute-value"><span>978-0679824251</span></div></div>"""
+    points = '<div id="feature-bullets"><span class="a-list-item">One thing to know</span><span class="a-list-item">short</span><span class="a-list-item">ONE thing to know</span></div>'
+    got = {r.url: r for r in lookup.product_record(spark.createDataFrame([("ld", ld), ("page", page), ("points", points), ("none", None)], "url string, html string")).collect()}
+    assert (got["ld"].title, got["ld"].author, got["ld"].publisher, got["ld"].isbn, got["ld"].tags) == ("Dune", "A B", "Ace", "9780441172719", ["x", "y"])
+    r = got["page"]
+    assert (r.title, r.author, r.publisher, r.language, r.isbn) == ("Past Noon", "Mary O, Sal M", "Random & Co", "English", "978-0679824251")
+    assert r.description.startswith("Jack and Annie") and got["points"].description == "- One thing to know" and got["none"].title is None
 
 
 def test_suggestions(spark):
