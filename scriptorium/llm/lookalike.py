@@ -196,7 +196,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(values: DataFrame) -> Model:
     """Bigrams over all values: the alphabets bound the table, not the data."""
     sums = values.select("value").mapInArrow(_counter, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return Model({(r["a"], r["b"]): r["n"] for r in sums.toLocalIterator()})
+    return Model({(r["a"], r["b"]): r["n"] for r in sums.coalesce(1).toLocalIterator()})
 
 
 def values_of(books: DataFrame, wishes: DataFrame) -> DataFrame:

@@ -608,11 +608,12 @@ def linked(books: DataFrame, wishes: DataFrame, margin: float = 0.8, floor: floa
 
 
 def _rooted(forms: DataFrame, links: DataFrame, scored: DataFrame, margin: float, floor: float) -> DataFrame:
-    """Follows each form's link to a form without one, twice as far each round: links go one way, so it ends."""
+    """Follows each form's link to a form without one, four times as far each round: links go one way, so it ends."""
     now = cut(forms.select("form").join(links.where(F.col("ll") > floor), "form", "left").select("form", F.coalesce("canonical", "form").alias("canonical"), F.coalesce("posterior", F.lit(1.0)).alias("posterior")))
     while True:
         up = now.select(F.col("form").alias("canonical"), F.col("canonical").alias("next"))
-        nxt = cut(now.join(up, "canonical").select("form", F.col("next").alias("canonical"), "posterior", (F.col("next") != F.col("canonical")).alias("moved")))
+        far = up.join(now.select(F.col("form").alias("next"), F.col("canonical").alias("after")), "next")
+        nxt = cut(now.join(far, "canonical").select("form", F.col("after").alias("canonical"), "posterior", (F.col("after") != F.col("canonical")).alias("moved")))
         moved = nxt.where("moved").limit(1).count()
         now = nxt.drop("moved")
         if not moved:

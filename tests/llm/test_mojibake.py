@@ -92,3 +92,14 @@ def test_a_books_fields_have_its_site(spark, books):
     s = spark.createDataFrame([("t", 0, "s", ["x"]), ("t", 1, None, None)], "book_id string, section_idx int, site string, lines array<string>")
     got = m.judged(books({"book_id": "t", "title": bad}, {"book_id": "u", "title": bad}), s).collect()
     assert {(r.book_id, r.source) for r in got} == {("t", "s"), ("u", None)}
+
+
+def test_code_points_of_buffers():
+    import pyarrow as pa
+
+    texts = ["守门人", None, "", "café 😅", "x" * 30_000, None]
+    for kind in (pa.string(), pa.large_string()):
+        col = pa.array(texts * 3, kind).slice(2, 9).drop_null()
+        got = np.concatenate(list(m._codes(col)))
+        assert got.tolist() == [ord(c) for t in (texts * 3)[2:11] if t for c in t]
+    assert not list(m._codes(pa.array([], pa.string())))
