@@ -53,6 +53,7 @@ _DIGIT_INSIDE = regex.compile(r"\p{Latin}[01]\p{Latin}")
 #: Han and Latin stand side by side in one run of letters: each stretch is a lattice of its own.
 _STRETCH = regex.compile(r"[\p{Han}\p{Katakana}ー]+|[^\p{Han}\p{Katakana}ー]+")
 _SUSPECT = regex.compile(r"[^\x00-\x7f一-鿿、-〃〈-】…—“”‘’·！（），：；？～]|[A-Za-z][01][A-Za-z]")
+_CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _ALPHABETS = {"Latn", "Cyrl", "Grek", "Armn", "Cher", "Lisu"}
 _SWITCH, _REPLACE = -6.0, -3.0
 
@@ -86,6 +87,8 @@ def _one(c: str) -> str:
 
 def normal(v: str) -> str:
     """Compatibility normal form of letters, digits, marks and spaces, without ignorable characters."""
+    if not _SUSPECT.search(v) and not _CONTROL.search(v):
+        return v  # nothing but plain letters, ideographs and punctuation
     return unicodedata.normalize("NFC", "".join(c if c < "\x7f" and (c >= " " or c in "\t\n\r") else _one(c) for c in v))
 
 

@@ -257,7 +257,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies(*tables: DataFrame) -> np.ndarray:
-    """Log-probability of every code point; the table has 1,114,112 entries however large the corpus."""
+    """Log-probabilities of the code points up to the greatest one met; the last entry stands for all beyond it."""
     got = None
     for t in tables:
         part = t.mapInArrow(_counter, "code int, n long")
@@ -267,7 +267,13 @@ def frequencies(*tables: DataFrame) -> np.ndarray:
         n[r["code"]] = r["n"]
     n[0xFFFD] = 0
     total = n.sum() + 1
-    return np.log((n + 0.1) / total).astype(np.float32)
+    top = int(np.flatnonzero(n)[-1]) + 1 if n.any() else 0
+    return np.log((n[: top + 1] + 0.1) / total).astype(np.float32)
+
+
+def _whole(log_p: np.ndarray) -> np.ndarray:
+    """An entry for every code point: small tables travel, whole ones are made where they are used."""
+    return np.concatenate([log_p, np.full(0x110000 - len(log_p), log_p[-1], np.float32)])
 
 
 def _ll(log_p: np.ndarray, v: str) -> float:
@@ -313,7 +319,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _of_lines(log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = _steps(log_p)
+        whole = _whole(log_p)
+        steps = _steps(whole)
         for b in batches:
             row, place, text = row_lines(b)
             out, seen = [], {}
@@ -321,7 +328,7 @@ def _of_lines(log_p: np.ndarray):
             once = [v for v in dict.fromkeys(text) if v and not v.isascii()]
             for i in range(0, len(once), 20_000):
                 part = once[i : i + 20_000]
-                seen |= {v: w for v, big5 in zip(part, may_be_big5(part, steps).tolist(), strict=True) if (w := weighed(v, log_p, big5))}
+                seen |= {v: w for v, big5 in zip(part, may_be_big5(part, steps).tolist(), strict=True) if (w := weighed(v, whole, big5))}
             for r, p, v in zip(row.tolist(), place.tolist(), text, strict=True):
                 if w := seen.get(v):
                     out.append((site[r], "lines", book[r], section[r], p, v, *map(list, zip(*w, strict=True))))
@@ -332,11 +339,15 @@ def _of_lines(log_p: np.ndarray):
 
 def _of_fields(log_p: np.ndarray, fields: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole(log_p)
+        steps = _steps(whole)
         for b in batches:
             out = []
             for f in fields:
+                once = [v for v in dict.fromkeys(b.column(f).to_pylist()) if v and not v.isascii()]
+                seen = {v: w for v, big5 in zip(once, may_be_big5(once, steps).tolist(), strict=True) if (w := weighed(v, whole, big5))}
                 for site, book, v in zip(*(b.column(c).to_pylist() for c in ("site", "book_id", f)), strict=True):
-                    if v and not v.isascii() and (w := weighed(v, log_p)):
+                    if w := seen.get(v):
                         out.append((site, f, book, -1, -1, v, *map(list, zip(*w, strict=True))))
             yield _batch(out)
 
