@@ -1,10 +1,10 @@
 """Problem 4: matching entities across two tables that share no key.
 
 Method: wishes and books reduce to forms (title, number of the part, author's entity). Forms meet in three ways: with
-the same author, all of them where the author has few works, else under a title without one letter (of titles from
-eight letters on, half a title without one letter, which two errors leave whole); where an author is missing, under the
-title without one letter; with different authors, under the same title (where it has very many authors, with those that
-could be spellings of one). Each pair has a vector: the title's similarity, falling with the rate of typing errors, and
+the same author, all of them, however many works the author has; where an author is missing, under the title without
+one letter; with different authors, under the same title, where the names share a part or could be spellings of one
+(names that share nothing are alike by 0, so such pairs are counted for the fit without being listed). Each pair has a
+vector: the title's similarity, falling with the rate of typing errors, and
 the author's: 1 for one entity, what the spellings share for two, and for a missing one its chance among the authors of
 the title. A regularised mixture of Gaussians is fitted to all vectors without labels: two matched components (equal
 titles, mistyped ones) and two unmatched ones (other title, other author). Every expectation step holds a wish's books
@@ -48,8 +48,6 @@ RIDGE = 0.004
 MEANS, SPREADS, SHARES = ((1.0, 1.0), (0.75, 1.0), (0.0, 1.0), (1.0, 0.0)), (0.05,) * 4, (0.25,) * 4
 BEYOND = ((1, 1), (0, 1), (-1, 0), (0, -1))
 MATCHED = 2
-#: Authors of one title, and works of one author on either side, up to which all of them are compared.
-MOST_AUTHORS, MOST_WORKS = 64, 8
 #: Titles less alike are unmatched under any fit, and need not be held to transitivity.
 ALIKE_AT_ALL = 0.1
 #: Cells of vectors up to which the rounds run on the driver: some 10 MB.
@@ -309,8 +307,26 @@ def matched(books: DataFrame, wishes: DataFrame, restored: DataFrame | None = No
     met = _met(a, b)
     side = lambda d, s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in ("form", *key, "authors")])
     met = met.join(side(a, "w"), "w_form").join(side(b, "b"), "b_form").where("w_number = b_number")
-    vectors = cut(_vectors(met).select("w_form", "b_form", "x1", "x2"))
-    return _expanded(_posteriors(vectors, b, key, rounds, transitive), of_wishes.withColumn("form", F.xxhash64(*key)), of_books.withColumn("form", F.xxhash64(*key)))
+    one_title = F.expr("w_main = b_main and w_authors > 1 and w_author is not null and b_author is not null")
+    vectors = cut(_vectors(met).select("w_form", "b_form", "x1", "x2", one_title.alias("one_title")))
+    return _expanded(_posteriors(vectors, _strangers(a, b, vectors), b, key, rounds, transitive), of_wishes.withColumn("form", F.xxhash64(*key)), of_books.withColumn("form", F.xxhash64(*key)))
+
+
+def _one_off(x: str) -> set[str]:
+    """Texts with at most one error share one of these; of long ones it leaves one half whole, lengths may differ by one."""
+    holes = {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))} if len(x) <= 40 else {x}
+    return holes | ({y for k in (1, 2, 3) for h in ((len(x) - k) // 2,) for y in (f"a:{x[:h]}", f"z:{x[-h:]}")} if len(x) >= 40 else set())
+
+
+def author_keys(author: str) -> list[str]:
+    """Of any two names that are alike at all (author_similarity above 0) both have one of these."""
+    core = author[3:]
+    if author[:2] == "zh":  # all spellings keep a character
+        return sorted(set(core))
+    # Names of several parts have one in common, or a family name with one error; a name in one piece is compared whole.
+    parts = core.split()
+    whole = {*_one_off("".join(parts)), "".join(sorted(parts)), "".join(t for t in parts if len(t) > 1)}
+    return sorted({f"{t} " for x in parts for t in (_one_off(x) if len(x) >= 5 else {x})} | whole)
 
 
 def _met(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -319,11 +335,8 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     of = lambda keys: F.array_distinct(F.concat(keys("main"), F.array("whole")))
     keyed = lambda d, tag, keys, *more: d.select("form", F.explode(keys).alias("k"), "number", *more).select("form", F.xxhash64(F.lit(tag), "number", "k", *more).alias("key"))
     pair = lambda x, y: x.alias("a").join(y.alias("b"), F.col("a.key") == F.col("b.key")).select(F.col("a.form").alias("w_form"), F.col("b.form").alias("b_form"))
-    # Authors with works on both sides only; few works of one are all compared, which also shows what unlike works share.
-    works = lambda d, n: d.where("author is not null").groupBy("author", "number").agg(F.count(F.lit(1)).alias(n))
-    both = works(a, "n_a").join(works(b, "n_b"), ["author", "number"]).select("author", "number", (F.greatest("n_a", "n_b") <= MOST_WORKS).alias("few"))
-    few = F.when(F.col("few"), F.array(F.lit(""))).otherwise(of(_half_holes))
-    of_author = lambda d: keyed(d.join(both, ["author", "number"]), "s", few, "author")
+    # All works of one author, which also shows what unlike works share.
+    of_author = lambda d: d.where("author is not null").select("form", F.xxhash64(F.lit("s"), "number", "author").alias("key"))
     same = pair(of_author(a), of_author(b))
     # A missing author: the side without one has one form a title, so no key holds many on both sides.
     title = lambda d: keyed(d, "t", of(_holes))
@@ -331,15 +344,26 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def spellings(author: pd.Series) -> pd.Series:
-        return pd.Series([(names.zh_keys if x[:2] == "zh" else names.la_keys)(x[3:]) for x in author])
+        return author.map(author_keys)
 
-    # Different authors of one title: what problem 1 left apart may still be one person. Titles of more authors than
-    # MOST_AUTHORS meet under the keys of names as well, which any two spellings of one name share.
-    by = F.when(F.col("authors") <= MOST_AUTHORS, F.array(F.lit(""))).otherwise(spellings("author"))
-    other = lambda d: keyed(d.where("author is not null and authors > 1"), "o", by, "main")
+    # Different authors of one title: what problem 1 left apart may still be one person.
+    other = lambda d: keyed(d.where(_SHARED), "o", spellings("author"), "main")
     return same.unionByName(bare).unionByName(pair(other(a), other(b))).distinct()
 
 
+#: Forms whose title has other authors as well.
+_SHARED = "author is not null and authors > 1"
+
+
+def _strangers(a: DataFrame, b: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Cells (x1, n) of pairs of one title and different authors whose names share nothing: those that did not meet."""
+    of = lambda d, s: d.where(_SHARED).groupBy("main", "number", F.col("whole").alias(f"{s}_whole")).agg(F.count(F.lit(1)).alias(f"{s}_n"))
+    each = of(a, "w").join(of(b, "b"), ["main", "number"])
+    each = each.select(_title_similarity("w_whole", "main", "b_whole", "main").alias("x1"), (F.col("w_n") * F.col("b_n")).alias("n"))
+    cells = each.unionByName(vectors.where("one_title").select("x1", F.lit(-1).cast("long").alias("n"))).groupBy(F.round("x1", 2).alias("x1"))
+    return cells.agg(F.sum("n").alias("n")).where("n > 0")
+
+
 @F.pandas_udf(T.DoubleType())
 def _title_similarity(w_whole: pd.Series, w_main: pd.Series, b_whole: pd.Series, b_main: pd.Series) -> pd.Series:
     return pd.Series([title_similarity((p, q), (r, s)) for p, q, r, s in zip(w_whole, w_main, b_whole, b_main, strict=True)], dtype=float)
@@ -362,10 +386,11 @@ def _stand_in(c: str):
     return F.regexp_replace(F.lower(F.col(c)), r"(?U)[\s\p{P}]+", "").isin(*sorted({re.sub(r"[\W_]", "", x) for x in names.NO_AUTHOR}))
 
 
-def _posteriors(vectors: DataFrame, b: DataFrame, key: list[str], rounds: int, transitive: bool) -> DataFrame:
+def _posteriors(vectors: DataFrame, strangers: DataFrame, b: DataFrame, key: list[str], rounds: int, transitive: bool) -> DataFrame:
     """(w_form, b_form, p): expectation-maximization with transitivity among the books of each wish.
 
-    t1, t2 are the vector of the wish's best book by evidence, y1, y2 that of this book and the best one.
+    t1, t2 are the vector of the wish's best book by evidence, y1, y2 that of this book and the best one. strangers: cells
+    of pairs that are no candidates and count in the fit.
     """
     w = Window.partitionBy("w_form")
     top = F.max(F.struct((F.col("x1") + F.col("x2")).alias("s"), "x1", "x2", F.col("b_form").alias("form"))).over(w)
@@ -377,7 +402,10 @@ def _posteriors(vectors: DataFrame, b: DataFrame, key: list[str], rounds: int, t
     tied = tied.select(F.col("p_form").alias("best"), F.col("q_form").alias("b_form"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
     pairs = cut(pairs.join(tied, ["best", "b_form"], "left"))
     model = Mixture()
-    model.fit(pairs.groupBy(*[F.round(c, 2).alias(c) for c in _VECTORS]).agg(F.count(F.lit(1)).alias("n")), rounds)
+    cells = pairs.groupBy(*[F.round(c, 2).alias(c) for c in _VECTORS]).agg(F.count(F.lit(1)).alias("n"))
+    # Unmatched under any fit, strangers tie nothing: each is its wish's best as far as they are concerned.
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    model.fit(cells.unionByName(strangers.select("x1", zero.alias("x2"), F.col("x1").alias("t1"), zero.alias("t2"), none.alias("y1"), none.alias("y2"), "n")), rounds)
 
     @F.pandas_udf(T.DoubleType())
     def posterior(x1: pd.Series, x2: pd.Series, t1: pd.Series, t2: pd.Series, y1: pd.Series, y2: pd.Series) -> pd.Series:

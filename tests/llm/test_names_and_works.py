@@ -139,3 +139,45 @@ def test_syllables():
 def test_short_names_are_linked(books, wishes):
     b = books(*[{"book_id": str(i), "title": f"t{i}", "author": a} for i, a in enumerate(["王小明"] * 5 + ["王晓明", "王大明"])])
     assert {tuple(r) for r in names.pairs(b, wishes()).collect()} == {("王小明", "王晓明")}
+
+
+@pytest.mark.parametrize("works", [5, 12])
+def test_a_wish_meets_all_works_of_its_author(books, wishes, works):
+    """Two errors in seven letters, whether the author has few works or many."""
+    others = ["风铃与旧木桥边", "江南春雨听竹声", "落日孤城千里雪", "白马踏破秋霜月", "红尘一剑笑苍天", "长街夜话煮新茶", "北国冰河铁马行", "云中仙客醉流霞", "青灯古卷照无眠", "碧海潮生弄箫人", "荒原狼啸动星河", "古道西风瘦马嘶"]
+    rows = [("m", "茅灯桃桥凝霜夜"), *((f"f{i}", t) for i, t in enumerate(others[:works]))]
+    b = books(*[{"book_id": i, "title": t, "author": "门衡海梁湾"} for i, t in rows])
+    w = wishes({"id": "w", "title": "茅灯柳桥凝露夜", "author": "门衡海梁湾"}, *[{"id": f"v{i}", "title": t, "author": "门衡海梁湾"} for i, t in rows])
+    got = {(r.wish_id, r.book_id) for r in entity.matched(b, w).collect()}
+    assert got == {("w", "m"), ("vm", "m"), *((f"v{i}", i) for i, _ in rows[1:])}
+
+
+def test_authors_of_one_title_are_compared_or_counted(spark):
+    """However many they are: those that could be alike meet, the others are in the fit as a number."""
+    from pyspark.sql import functions as F
+
+    import itertools
+
+    zh = ["".join(x) for x in itertools.islice(itertools.combinations("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳", 4), 0, 1800, 25)]
+    names_of = [*(f"zh:{x}" for x in zh), "la:ada zimevisun", "la:a zimevisum", "la:olga berg"]
+    forms = lambda which, sub: spark.createDataFrame([(i, f"灯{sub if i % 3 == 0 else ''}", "灯", 0, names_of[i], len(names_of)) for i in which], "form long, whole string, main string, number int, author string, authors long")
+    a, b = forms(range(0, len(names_of)), "下"), forms(range(0, len(names_of), 2), "上")
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns])
+    met = entity._met(a, b).join(side(a, "w"), "w_form").join(side(b, "b"), "b_form")
+    vectors = entity._vectors(met).withColumn("one_title", F.lit(True)).cache()
+    alike = {(x, y) for x in range(len(names_of)) for y in range(0, len(names_of), 2) if entity.author_similarity(names_of[x], names_of[y]) > 0}
+    assert alike <= {tuple(r) for r in vectors.select("w_form", "b_form").collect()} and len(alike) < a.count() * b.count()
+    # Of each title similarity met and counted pairs are all pairs.
+    want = {}
+    for x, y in itertools.product(range(len(names_of)), range(0, len(names_of), 2)):
+        s = round(entity.title_similarity(*[(f"灯{t if i % 3 == 0 else ''}", "灯") for i, t in ((x, "下"), (y, "上"))]), 2)
+        want[s] = want.get(s, 0) + 1
+    got = {r.x1: r.n for r in entity._strangers(a, b, vectors).collect()}
+    for s, n in vectors.groupBy(F.round("x1", 2)).count().collect():
+        got[s] = got.get(s, 0) + n
+    assert got == want
+
+
+@pytest.mark.parametrize(("a", "b"), [("zh:王小明", "zh:王晓明"), ("zh:青石", "zh:青石散人"), ("zh:青石散人", "zh:散人青石"), ("la:andrewbobazaril", "la:andrew bobazarel"), ("la:w tebimenker", "la:wi tebimenkar"), ("la:w tebimenker", "la:winifred tebimenkre"), ("la:ada b lee", "la:lee ada"), ("la:" + "x" * 25 + "abcdefghijklmno", "la:" + "x" * 25 + "abcdefghijklmnop"), ("la:gabriel marquez", "la:gabriel garcia marquez")])
+def test_authors_alike_share_a_key(a, b):
+    assert entity.author_similarity(a, b) > 0 and set(entity.author_keys(a)) & set(entity.author_keys(b))
