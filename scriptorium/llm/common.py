@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,13 @@ def clear(spark: SparkSession) -> int:
     return len(gone)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what finished jobs held: plans, and with them broadcasts and shuffle files, stay until its
+    collector finds them, and its memory grows with each phase of a long query otherwise."""
+    gc.collect()  # Python's handles of plans first
+    spark.sparkContext._jvm.System.gc()
+
+
 def instant(text: Column) -> Column:
     """ISO-8601 text with an offset as a timestamp; NULL, empty or unreadable text is NULL."""
     return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import names
-from .common import cut
+from .common import cut, release
 from .lookalike import ALIKE, normal
 
 #: At most so many rounds; fewer where the parameters stay within TOLERANCE.
@@ -280,12 +280,15 @@ def matched(books: DataFrame, wishes: DataFrame, restored: DataFrame | None = No
 
     restored: (book_id, restored) of garbled titles. Title and author of a book may have changed places.
     """
-    values, links, of_char = names.linked(books, wishes)
-    entity = cut(values.select("raw", "form").distinct().join(links.select("form", "canonical"), "form").select("raw", F.col("canonical").alias("author")))
     rows = books.select("book_id", "title", F.col("author").alias("raw")).dropDuplicates(["book_id"])
     if restored is not None:
-        rows = rows.join(restored, "book_id", "left").select("book_id", F.coalesce("restored", "title").alias("title"), "raw")
-    known = rows.join(entity, "raw", "left")
+        rows = cut(rows.join(restored, "book_id", "left").select("book_id", F.coalesce("restored", "title").alias("title"), "raw"))
+    release(books.sparkSession)
+    values, links, of_char = names.linked(books, wishes)
+    links = cut(links.select("form", "canonical"))
+    release(books.sparkSession)
+    entity = cut(values.select("raw", "form").distinct().join(links, "form").select("raw", F.col("canonical").alias("author")))
+    known = cut(rows.join(entity, "raw", "left"))  # read three times
     # An author that is no name but has letters is a title: the two fields have changed places.
     swapped = known.where("author is null").where(F.col("raw").rlike(r"\p{L}") & ~_stand_in("raw")).select("book_id", F.col("raw").alias("title"), F.col("title").alias("raw"))
     of_form = links.select("form", F.col("canonical").alias("author"))
@@ -294,6 +297,7 @@ def matched(books: DataFrame, wishes: DataFrame, restored: DataFrame | None = No
     of_books = cut(_forms(plain.unionByName(swapped), of_char))
     w = wishes.where("library_book_id is null").select("id", "title", F.col("author").alias("raw")).dropDuplicates(["id"]).join(entity, "raw", "left").select("id", "title", "author")
     of_wishes = cut(_forms(w, of_char))
+    release(books.sparkSession)
 
     key = ["whole", "main", "number", "author"]
     a, b = of_wishes.select(*key).distinct(), of_books.select(*key).distinct()
@@ -309,6 +313,7 @@ def matched(books: DataFrame, wishes: DataFrame, restored: DataFrame | None = No
     met = met.join(side(a, "w"), "w_form").join(side(b, "b"), "b_form").where("w_number = b_number")
     one_title = F.expr("w_main = b_main and w_authors > 1 and w_author is not null and b_author is not null")
     vectors = cut(_vectors(met).select("w_form", "b_form", "x1", "x2", one_title.alias("one_title")))
+    release(books.sparkSession)
     return _expanded(_posteriors(vectors, _strangers(a, b, vectors), b, key, rounds, transitive), of_wishes.withColumn("form", F.xxhash64(*key)), of_books.withColumn("form", F.xxhash64(*key)))
 
 
@@ -401,6 +406,7 @@ def _posteriors(vectors: DataFrame, strangers: DataFrame, b: DataFrame, key: lis
     tied = _vectors(tied.join(side("p"), "p_form").join(side("q"), "q_form"), "p", "q")
     tied = tied.select(F.col("p_form").alias("best"), F.col("q_form").alias("b_form"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
     pairs = cut(pairs.join(tied, ["best", "b_form"], "left"))
+    release(pairs.sparkSession)
     model = Mixture()
     cells = pairs.groupBy(*[F.round(c, 2).alias(c) for c in _VECTORS]).agg(F.count(F.lit(1)).alias("n"))
     # Unmatched under any fit, strangers tie nothing: each is its wish's best as far as they are concerned.
